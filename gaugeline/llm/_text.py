@@ -111,15 +111,19 @@ def sequence_hash(h: np.ndarray) -> np.uint64:
     return mix64((h * _STEP[: len(h)]).sum(dtype=np.uint64, keepdims=True) + np.array([len(h) * _LEN_INT & _MASK], np.uint64))[0]
 
 
-def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int) -> Iterator[np.ndarray]:
-    """For each text its sorted distinct shingle hashes: width words each; a shorter text is one shingle, an empty one has none."""
-    h, _, _, first = word_hashes(raw, off)
+def shingle_sets_of(h: np.ndarray, first: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """For each text, given all words' hashes and each text's first word, its sorted distinct shingle hashes."""
     win = window_hashes(h, width)
-    for i in range(len(off) - 1):
-        a, b = first[i], first[i + 1]
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= width:
             yield np.unique(win[a : b - width + 1])
         elif b > a:
             yield np.array([sequence_hash(h[a:b])], np.uint64)
         else:
             yield np.zeros(0, np.uint64)
+
+
+def shingle_sets(raw: np.ndarray, off: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """For each text its sorted distinct shingle hashes: width words each; a shorter text is one shingle, an empty one has none."""
+    h, _, _, first = word_hashes(raw, off)
+    yield from shingle_sets_of(h, first, width)
