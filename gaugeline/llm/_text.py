@@ -73,6 +73,15 @@ def groups(off: np.ndarray, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int
         i = min(j, n)
 
 
+def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each span of bytes, by one running sum over all."""
+    n = len(body)
+    up, down = _power_tables(n)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[body] * up, out=prefix[1:])
+    return mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _LEN)
+
+
 def word_hashes(raw: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of consecutive texts: every word's hash, start and end byte (from off[0]), and each text's first word number (one more at the end)."""
     base, end = int(off[0]), int(off[-1])
@@ -88,11 +97,7 @@ def word_hashes(raw: np.ndarray, off: np.ndarray, lower: bool = True) -> tuple[n
     last = solid.copy()
     last[:-1] &= ~solid[1:] | cut[1:n]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _power_tables(n)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[low] * up, out=prefix[1:])
-    h = mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _LEN)
-    return h, starts, ends, np.searchsorted(starts, off - base)
+    return span_hashes(low, starts, ends), starts, ends, np.searchsorted(starts, off - base)
 
 
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:

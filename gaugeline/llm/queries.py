@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that register queries. Each has QUERIES (name -> function) and SQL (name -> DuckDB text, where SQL can express it).
-MODULES = ("q_tokens", "q_secrets", "q_neardup", "q_mixing", "q_sharding", "q_rules", "q_licences", "q_topk", "q_pages")
+MODULES = ("q_tokens", "q_secrets", "q_neardup", "q_mixing", "q_sharding", "q_rules", "q_licences", "q_topk", "q_pages", "q_classifier")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
