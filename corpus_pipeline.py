@@ -1,16 +1,85 @@
-"""A training-corpus pipeline of five stages over ``documents``."""
+"""A training-corpus pipeline of five stages over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and
+read again as the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
+
+from gaugeline.llm import bpe, mixing, neardup, q_mixing, q_tokens, quality_classifier, secret_scan
+from gaugeline.llm._store import Store
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; those that it rejects, and texts without a token, go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_classifier.fit(docs, labels)
+    return quality_classifier.drawn(quality_classifier.weighed(docs, model), "doc_id").where("drawn").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    Of rows with one id the one with the smallest text stays. Rows without id are in no group and stay.
+    """
+    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    w = Window.partitionBy("doc_id").orderBy("text")
+    own = docs.join(kept, "doc_id", "left_semi").withColumn("__row", F.row_number().over(w)).where("__row = 1")
+    return own.select(docs.columns).union(docs.where("doc_id is null").select(docs.columns))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, each span of a secret replaced by a mark, and its number of characters as it then is."""
+    found = secret_scan.spans_of(docs)
+    hit = F.size("spans") > 0
+    text = F.when(hit, secret_scan.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    n = F.when(hit, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.withColumns({"text": text, "n_chars": n}).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, in the order of the mixture: the written files, by name, hold it from its first row to its last."""
+    placed = mixing.mixed(docs, q_mixing.WEIGHTS, q_mixing.OTHER)
+    return placed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, source, mix_part, mix_row, n_tokens, ids, decoded_sha256) of every document.
+
+    mix_part and mix_row are the document's file number and row in what the mixing stage
+    wrote, so sorting by them gives the mixture; null where docs comes from no file.
+    """
+    try:
+        docs = docs.select("*", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("mix_part"), F.col("_metadata.row_index").alias("mix_row"))
+    except AnalysisException:
+        docs = docs.select("*", F.lit(None).cast("int").alias("mix_part"), F.lit(None).cast("long").alias("mix_row"))
+    path = f"{q_tokens.TOKENIZERS}/word_bpe_49k.json"
+    ids = bpe.tokens_of(docs.select("doc_id", "source", "mix_part", "mix_row", "text"), path)
+    back = bpe.texts_of(ids.drop("text"), path)
+    return back.select("doc_id", "source", "mix_part", "mix_row", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("minhash_neardedup", drop_near_duplicates),
+    ("secret_scan", redact_secrets),
+    ("mix_sources", mix_sources),
+    ("bpe", encode),
+]
 
-STAGES: list = []
+#: SQL cannot express the classifier, MinHash or BPE; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents."""
+    """The stages applied to documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    store = Store(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        docs = out if k == len(STAGES) - 1 else store.keep(out)
     return docs
