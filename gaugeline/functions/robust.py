@@ -20,9 +20,9 @@ def percentile(x: Column | str, q: float) -> Column:
 
 def medians_and_mads(df: DataFrame, by: list[str], x: str) -> DataFrame:
     """(by..., median, mad): mad is unscaled. Two aggregations, so a large group is one histogram, never one list."""
-    med = df.where(F.col(x).isNotNull()).groupBy(*by).agg(F.median(x).alias("median"))
-    off = df.where(F.col(x).isNotNull()).join(med, by)
-    return off.groupBy(*by).agg(F.first("median").alias("median"), F.median(F.abs(F.col(x) - F.col("median"))).alias("mad"))
+    v = df.where(F.col(x).isNotNull()).select(*by, F.col(x).alias("__v"))
+    off = v.join(v.groupBy(*by).agg(F.median("__v").alias("median")), by)
+    return off.groupBy(*by).agg(F.first("median").alias("median"), F.median(F.abs(F.col("__v") - F.col("median"))).alias("mad"))
 
 
 def scaled_mad(mad: Column) -> Column:

@@ -23,7 +23,7 @@ PRIMARY_REGIONS = {
 }
 
 # Quality failures a capture can be refused for.
-FAILURES = ("no_face", "multiple_faces", "face_too_small", "pose_out_of_range", "blurry", "under_exposed", "over_exposed", "specular", "shadow_asymmetry", "color_cast", "roi_not_visible", "occlusion")
+FAILURES = ("blur", "underexposed", "overexposed", "face_too_small", "no_face", "multiple_faces", "extreme_pose", "shadow_asymmetry", "occlusion", "insufficient_roi_visibility", "suspected_filter_or_makeup", "color_cast")
 
 # Bounds declared before any run.
 CUTS = (0.5, 1.5, 2.5)
