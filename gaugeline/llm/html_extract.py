@@ -12,7 +12,7 @@ else the innermost element around all of the range's lines.
 Defined results. A null or empty page, and one without text, gives the empty string.
 Character references are decoded, white space in a block becomes one space, blocks are
 joined in page order by one space. Broken markup is read as browsers do: an unclosed
-element ends with its parent, an unknown end tag is ignored, a tag cut off by the page's
+element ends with its parent, an unknown end tag is ignored, a quote left open ends with its tag, a tag cut off by the page's
 end is dropped. Repeated rows give equal results; other columns are passed through.
 """
 

@@ -157,7 +157,7 @@ def _narrowed(hist: DataFrame, blocks: DataFrame, width: int) -> DataFrame:
     run = sums.withColumn("upto", F.sum("n").over(w)).withColumn("above", F.col("upto") - F.col("n"))
     every = blocks.select("qb", "qdim", F.posexplode(F.arrays_zip("lo", "need")).alias("q", "x")).select(*key, "x.lo", "x.need")
     hit = run.join(every, key).where("above < need and upto >= need").select(*key, "bin", "above")
-    now = every.join(hit, key, "left").select(*key, (F.col("lo") + F.coalesce("bin", F.lit(0)) * width).alias("lo"), (F.col("need") - F.coalesce("above", F.lit(0))).alias("need"))
+    now = every.join(hit, key, "left").select(*key, (F.col("lo") + F.coalesce("bin", F.lit(0)).cast("long") * F.lit(width).cast("long")).alias("lo"), (F.col("need") - F.coalesce("above", F.lit(0))).alias("need"))
     lists = now.groupBy("qb", "qdim").agg(F.sort_array(F.collect_list(F.struct("q", "lo", "need"))).alias("s"))  # an entry for each query of the block
     return blocks.drop("lo", "need").join(lists.select("qb", "qdim", F.col("s.lo").alias("lo"), F.col("s.need").alias("need")), ["qb", "qdim"])
 
