@@ -42,3 +42,20 @@ def metric_summary(rows: DataFrame, metrics: list[str]) -> DataFrame:
 def failure_tally(rows: DataFrame, failures: str, sep: str = "|") -> DataFrame:
     """(failure, n) of joined failure lists; blanks count for nothing."""
     return rows.select(F.explode(F.split(failures, f"\\{sep}")).alias("failure")).where("failure <> ''").groupBy("failure").agg(F.count("*").alias("n"))
+
+
+def strictest(floors: DataFrame) -> DataFrame:
+    """(floor): the largest of the concerns' floors; null if any concern has none, as no floor then holds for all."""
+    return floors.agg(F.when(F.count("floor") == F.count("*"), F.max("floor")).alias("floor"))
+
+
+def limit_index(metrics: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame:
+    """metrics (metric, ...) with the configured limit that applies, for display; null where none does."""
+    names = F.create_map(*[x for m, (name, _) in limits.items() for x in (F.lit(m), F.lit(name))])
+    values = F.create_map(*[x for m, (_, v) in limits.items() for x in (F.lit(m), F.lit(float(v)))])
+    return metrics.withColumns({"limit_name": names[F.col("metric")], "limit": values[F.col("metric")]})
+
+
+def wide(rows: DataFrame, key: str, metrics: str, names: list[str], prefix: str = "") -> DataFrame:
+    """One column for each named entry of a map column; null where a row lacks it."""
+    return rows.select(key, *[F.try_element_at(metrics, F.lit(n)).alias(f"{prefix}{n}") for n in names])

@@ -83,6 +83,20 @@ def release_ok(gates: DataFrame, allow_not_evaluated: bool = False) -> bool:
     return gates.where(F.col("status").isin(bad)).isEmpty()
 
 
+def caveats(run_mode: str, regions_verified: bool, calibrated: bool, has_session_column: bool) -> list[str]:
+    """What keeps a report from being release evidence, in the order in which it is read."""
+    return [
+        text
+        for holds, text in (
+            (run_mode != "production", f"run mode is {run_mode}"),
+            (not regions_verified, "regions are not verified"),
+            (not calibrated, "severity is not calibrated"),
+            (not has_session_column, "captures of a subject are one session"),
+        )
+        if holds
+    ]
+
+
 def never_fired(fired: DataFrame, column: str, checks: list[str]) -> DataFrame:
     """Checks that no row has."""
     every = fired.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, checks))).alias(column))

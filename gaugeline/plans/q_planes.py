@@ -109,6 +109,10 @@ def recommend_floor(s, d):
     return sweep.recommended_floor(threshold_sweep(s, d), ["label"], 0.88)
 
 
+def strictest_floor(s, d):
+    return sweep.strictest(recommend_floor(s, d))
+
+
 def hull_membership(s, d):
     """Points of every order's lines in the hull of the same order's lines with a full discount."""
     pts = st.table(s, d, "lineitem").where("l_orderkey <= 400").select(F.col("l_suppkey").alias("g"), F.col("l_quantity").alias("x"), F.col("l_linenumber").cast("double").alias("y"), "l_tax").distinct()
@@ -143,7 +147,7 @@ def color_lab(s, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (plane_blur_metrics, plane_focus_interior, plane_gradient, plane_glcm, plane_variance, mad_by_group, trimmed_mean, local_z, redness_measures, unit_scale, gray_world, lr_asymmetry, deterministic_subsample, blur_drift, threshold_sweep, recommend_floor, hull_membership, pair_asymmetry, run_lengths, skin_consensus, color_lab)
+    for f in (plane_blur_metrics, plane_focus_interior, plane_gradient, plane_glcm, plane_variance, mad_by_group, trimmed_mean, local_z, redness_measures, unit_scale, gray_world, lr_asymmetry, deterministic_subsample, blur_drift, threshold_sweep, recommend_floor, strictest_floor, hull_membership, pair_asymmetry, run_lengths, skin_consensus, color_lab)
 }
 
 _PX = "px AS (SELECT vec_id AS image, label, (i - 1) // 8 AS y, ((i - 1) % 8)::INT AS x, round(least(greatest((embedding[i]::DOUBLE + 0.5) * 255, 0), 255), 3) AS v FROM embeddings, range(1, 65) g(i))"
@@ -222,6 +226,7 @@ SELECT image, y::INT AS y, x, v FROM r WHERE n <= 9 OR r IN (SELECT round_even(i
     "blur_drift": f"WITH {_DRIFT} SELECT image, label, laplacian_var, tenengrad, blurred, round(relative_drift, 6) AS relative_drift FROM drift",
     "threshold_sweep": f"WITH {_SWEEP} SELECT * FROM swept",
     "recommend_floor": f"WITH {_SWEEP} SELECT label, min(CASE WHEN p95_drift <= 0.88 THEN threshold END) AS floor FROM swept GROUP BY 1",
+    "strictest_floor": f"WITH {_SWEEP}, f AS (SELECT label, min(CASE WHEN p95_drift <= 0.88 THEN threshold END) AS floor FROM swept GROUP BY 1) SELECT CASE WHEN count(floor) = count(*) THEN max(floor) END AS floor FROM f",
     "hull_membership": """
 WITH pts AS (SELECT DISTINCT l_suppkey AS g, l_quantity AS x, l_linenumber::DOUBLE AS y, l_tax FROM lineitem WHERE l_orderkey <= 400),
 h AS (SELECT DISTINCT g, x, y FROM pts WHERE l_tax <= 0.04), p AS (SELECT DISTINCT g, x, y FROM pts),
