@@ -59,26 +59,22 @@ def fitted_cuts(rows: DataFrame, by: list[str], z: str = "z", label: str = "labe
     and region, a group is one window.
     """
     key = [*by]
-    r = vocab.rank(F.col(label))
-    # position 0 stands before all rows; position p behind the p-th
-    w = Window.partitionBy(*key).orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ordered = rows.withColumn("__p", F.row_number().over(Window.partitionBy(*key).orderBy(z, label)))
-    zero = rows.groupBy(*key).agg(F.lit(0).alias("__p"), F.lit(None).cast("double").alias(z), F.lit(None).cast("string").alias(label), F.count("*").alias("__n"), F.min(z).alias("__lo"), F.max(z).alias("__hi"))
-    all_ = zero.select(*key, "__p", F.col(z).alias("z"), F.col(label).alias("label")).union(ordered.select(*key, "__p", F.col(z).cast("double"), F.col(label)))
-    all_ = all_.withColumn("r", F.when(F.col("label").isNotNull(), vocab.rank(F.col("label"))))
-    for b in range(4):
-        all_ = all_.withColumn(f"c{b}", F.sum((F.coalesce(F.col("r") == b, F.lit(False))).cast("int")).over(w))
-    # the best split so far: most right, then leftmost; kept as (gain, -position, ...)
-    first = F.struct((F.col("c0") - F.col("c1")).alias("g"), (-F.col("__p")).alias("i"))
-    a = all_.withColumn("s1", F.max(first).over(w))
-    second = F.struct((F.col("s1.g") + F.col("c1") - F.col("c2")).alias("g"), (-F.col("__p")).alias("j"), F.col("s1.i").alias("i"))
-    a = a.withColumn("s2", F.max(second).over(w))
-    third = F.struct((F.col("s2.g") + F.col("c2") - F.col("c3")).alias("g"), (-F.col("__p")).alias("k"), F.col("s2.j").alias("j"), F.col("s2.i").alias("i"))
-    best = a.groupBy(*key).agg(F.max(third).alias("s"), F.max("c3").alias("n3")).join(zero.select(*key, "__n", "__lo", "__hi"), key)
-    best = best.select(*key, "__n", "__lo", "__hi", (F.col("__n") - F.col("s.g") - F.col("n3")).alias("misclassified"), F.explode(F.array(F.struct(F.lit("t0").alias("t"), (-F.col("s.i")).alias("p")), F.struct(F.lit("t1").alias("t"), (-F.col("s.j")).alias("p")), F.struct(F.lit("t2").alias("t"), (-F.col("s.k")).alias("p")))).alias("c")).select("*", "c.t", "c.p").drop("c")
-    side = a.select(*key, F.col("__p").alias("p"), "z", F.lead("z").over(Window.partitionBy(*key).orderBy("__p")).alias("next"))
-    cut = F.when(F.col("p") <= 0, F.col("__lo") - 1.0).when(F.col("p") >= F.col("__n"), F.col("__hi") + 1.0).otherwise((F.col("z") + F.col("next")) / 2)
-    out = best.join(side, [*key, "p"]).withColumn("cut", cut).groupBy(*key, F.col("__n").alias("n"), "misclassified").pivot("t", ["t0", "t1", "t2"]).agg(F.first("cut"))
+    every = Window.partitionBy(*key)
+    ordered = rows.select(*key, F.col(z).cast("double").alias("z"), vocab.rank(F.col(label)).alias("r"), F.row_number().over(every.orderBy(z, label)).alias("p"))
+    ordered = ordered.withColumns({"n": F.count("*").over(every), "lo": F.min("z").over(every), "hi": F.max("z").over(every), "next": F.lead("z").over(every.orderBy("p"))})
+    # position 0 stands before all rows, position p behind the p-th; each has the cut that it would give
+    last = F.when(F.col("p") >= F.col("n"), F.col("hi") + 1.0).otherwise((F.col("z") + F.col("next")) / 2)
+    here = F.struct(F.col("p").alias("p"), F.col("r").alias("r"), last.alias("cut"))
+    start = F.struct(F.lit(0).alias("p"), F.lit(None).cast("int").alias("r"), (F.col("lo") - 1.0).alias("cut"))
+    a = ordered.select(*key, "n", F.explode(F.when(F.col("p") == 1, F.array(start, here)).otherwise(F.array(here))).alias("x")).select(*key, "n", "x.*")
+    w = every.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    a = a.withColumns({f"c{b}": F.count_if(F.col("r") == b).over(w) for b in range(4)})
+    # the best split so far: most right, then leftmost; cuts ride along behind the unique position
+    a = a.withColumn("s1", F.max(F.struct((F.col("c0") - F.col("c1")).alias("g"), (-F.col("p")).alias("at"), F.col("cut").alias("t0"))).over(w))
+    a = a.withColumn("s2", F.max(F.struct((F.col("s1.g") + F.col("c1") - F.col("c2")).alias("g"), (-F.col("p")).alias("at"), F.col("cut").alias("t1"), F.col("s1.t0").alias("t0"))).over(w))
+    best = F.max(F.struct((F.col("s2.g") + F.col("c2") - F.col("c3")).alias("g"), (-F.col("p")).alias("at"), F.col("cut").alias("t2"), F.col("s2.t1").alias("t1"), F.col("s2.t0").alias("t0")))
+    out = a.groupBy(*key, "n").agg(best.alias("s"), F.max("c3").alias("n3"))
+    out = out.select(*key, "n", (F.col("n") - F.col("s.g") - F.col("n3")).alias("misclassified"), "s.t0", "s.t1", "s.t2")
     return out.withColumn("fitted", (F.col("n") >= 4) & (F.col("t0") < F.col("t1")) & (F.col("t1") < F.col("t2")))
 
 
