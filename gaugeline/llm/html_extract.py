@@ -49,8 +49,10 @@ MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion promotions banner banners sidebar sidebars sidenav menu menus navbar nav navigation "
     "topnav subnav breadcrumb breadcrumbs footer footers foot colophon masthead header topbar cookie cookies consent gdpr notice notices notification notifications popup popups modal overlay newsletter subscribe subscription "
     "signup signin login social share sharing sharebar related recommended recommendations comment comments commentlist disqus replies respond discussion pagination pager toolbar widget widgets search searchbox copyright "
-    "disclaimer skip skiplink alert hidden paywall teaser outbrain taboola trending".split()
+    "disclaimer skip skiplink alert hidden paywall teaser outbrain taboola trending aside rail privacy reply responses feedback".split()
 )
+_COMMENTS = frozenset("comment comments commentlist disqus replies reply respond responses discussion feedback".split())
+_NOWHERE = 1 << 30
 #: Words that turn a mark into something else, as in has-sidebar; and, for a header, those that make it an article's own.
 NOT_MARKS = frozenset("has no with without".split())
 OWN_HEADER = frozenset("article post entry content main story title".split())
@@ -65,7 +67,7 @@ def _marked(name: str, attrs: str, in_article: bool) -> bool:
         return not in_article
     if not attrs or attrs.isspace():
         return False
-    a = {k.lower(): d or s or u for k, d, s, u in _ATTR.findall(attrs)}
+    a = _attributes(attrs)
     if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
         return name not in ("html", "body")
     if a.get("role", "").lower() in ROLES:
@@ -81,6 +83,10 @@ def _marked(name: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+def _attributes(attrs: str) -> dict[str, str]:
+    return {k.lower(): d or s or u for k, d, s, u in _ATTR.findall(attrs)}
+
+
 def _split(token: str) -> list[str]:
     return [x.lower() for x in _WORD.findall(token)]
 
@@ -98,13 +104,14 @@ class Line:
         self.text, self.size, self.around = text, max(0, len(text) - linked), around
 
 
-def lines_of(html: str) -> list[Line]:
-    """The page's lines outside stripped elements."""
+def lines_of(html: str, recover: bool = False) -> list[Line]:
+    """The page's lines outside stripped elements; recover takes an article or main element back, unless it stands among comments."""
     out: list[Line] = []
-    stack: list[tuple[int, str, bool]] = []  # number, name, stripped
+    stack: list[tuple[int, str, int]] = []  # number, name, by how much it raises the count of stripped elements
     parts: list[str] = []
     linked = links = number = 0
     dropped = in_article = 0
+    among_comments = _NOWHERE  # the depth of the outermost element of comments
 
     def flush() -> None:
         nonlocal linked
@@ -116,12 +123,14 @@ def lines_of(html: str) -> list[Line]:
         linked = 0
 
     def close(k: int) -> None:
-        nonlocal dropped, in_article, links
+        nonlocal dropped, in_article, links, among_comments
         for _, name, off in reversed(stack[k:]):
             dropped -= off
             in_article -= name in ("article", "main")
             links -= name == "a"
         del stack[k:]
+        if among_comments >= k:
+            among_comments = _NOWHERE
 
     def find(name: str, stop: frozenset = frozenset()) -> int:
         for k in range(len(stack) - 1, -1, -1):
@@ -173,7 +182,12 @@ def lines_of(html: str) -> list[Line]:
             close(k)
         if name in ("li", "dt", "dd", "option", "tr", "td", "th") and (k := find(name, frozenset(("ul", "ol", "dl", "table", "menu")))) >= 0:
             close(k)
-        off = _marked(name, attrs, in_article > 0) if not dropped else False
+        off = int(not dropped and _marked(name, attrs, in_article > 0))
+        if recover:
+            if among_comments == _NOWHERE and _COMMENTS & {*_words(_attributes(attrs))}:
+                among_comments = len(stack)
+            if dropped and name in ("article", "main") and among_comments == _NOWHERE:
+                off = -dropped
         number += 1
         stack.append((number, name, off))
         dropped += off
@@ -203,6 +217,12 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     lines = lines_of(html)
+    inside = lambda x: any(n in ("article", "main") for _, n in x.around)
+    if not any(map(inside, lines)) and re.search(r"<(?:article|main)[\s>]", html, re.IGNORECASE):
+        # an unclosed stripped element can swallow the article: it is taken back if it outweighs what is left
+        again = lines_of(html, recover=True)
+        if sum(x.size for x in again if inside(x)) > sum(x.size for x in lines):
+            lines = again
     if not lines:
         return ""
     a, b = surge_and_dive([x.size for x in lines])

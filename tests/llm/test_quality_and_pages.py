@@ -86,6 +86,14 @@ def test_article_text():
         assert html_extract.main_text(PAGE.replace("{body}", wrap.format(ARTICLE))) == WANT, wrap
 
 
+def test_an_unclosed_advert_does_not_swallow_the_article():
+    ad = '<body><div class="ad">Buy this<nav><ul><li><a href=x>go</a>'
+    rest = '<section id="comments"><article><p>' + "A reader's long remark. " * 40 + "</article></section>"
+    assert html_extract.main_text(f"{ad}<article><h1>T</h1><p>One.<p>Two and more.</article>{rest}") == "T One. Two and more."
+    teaser = '<aside class="related"><article><p>Read on</article></aside>'
+    assert html_extract.main_text(f'<body>{teaser}<div id="text"><p>The one real text of the page.<p>End.</div>{rest}') == "The one real text of the page. End."
+
+
 def test_broken_pages(spark):
     cases = {None: "", "": "", " ": "", "plain text": "plain text", "<p>a<p>b": "a b", "a < b <c": "a < b", "<b": "", "<!-- x": "", "<script>x": "", '<p class="x>y': "y", "<p>&am": "&am", "<nav>x": ""}
     rows = [(k, "u", h) for k, h in enumerate(cases)]
