@@ -58,9 +58,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     except AnalysisException:
         docs = docs.select("*", F.lit(None).cast("int").alias("mix_part"), F.lit(None).cast("long").alias("mix_row"))
     path = f"{q_tokens.TOKENIZERS}/word_bpe_49k.json"
-    ids = bpe.tokens_of(docs.select("doc_id", "source", "mix_part", "mix_row", "text"), path)
-    back = bpe.texts_of(ids.drop("text"), path)
-    return back.select("doc_id", "source", "mix_part", "mix_row", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    ids = bpe.tokens_of(docs.select("doc_id", "source", "mix_part", "mix_row", "text"), path, digest="decoded_sha256")
+    return ids.select("doc_id", "source", "mix_part", "mix_row", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [

@@ -31,7 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Chunks and words whose ids are kept from one batch to the next, and texts' characters that one index holds.
-KEEP_CHUNKS, KEEP_WORDS, INDEX_CHARS = 250_000, 250_000, 8_000_000
+KEEP_CHUNKS, KEEP_WORDS, INDEX_CHARS = 150_000, 150_000, 2_000_000
+#: Rows that are encoded and sent back at a time, so that memory does not depend on the size of a batch.
+SLICE = 500
 #: Ids are below this, so that a pair is one number.
 SPAN = 1 << 20
 
@@ -215,22 +217,34 @@ def encoder(spec: str) -> Encoder:
     return Encoder(spec)
 
 
-def tokens_of(docs: DataFrame, path: str, text: str = "text", column: str = "ids") -> DataFrame:
-    """docs with ``ids array<int>`` of every whole text; a column of that name is replaced."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
+def tokens_of(docs: DataFrame, path: str, text: str = "text", column: str = "ids", digest: str | None = None) -> DataFrame:
+    """docs with ``ids array<int>`` of every whole text, and on request the SHA-256 of the text that they decode to; columns of these names are replaced."""
+    import hashlib
+
     from pyspark.sql import types as T
 
     spec = docs.sparkSession.sparkContext.broadcast(load(path))  # bounded: one vocabulary file
-    docs = docs.drop(column)
-    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.ArrayType(T.IntegerType(), False), False)])
+    new = [column] + [digest] * (digest is not None)
+    docs = docs.drop(*new)
+    kinds = [T.StructField(column, T.ArrayType(T.IntegerType(), False), False)] + [T.StructField(c, T.StringType(), False) for c in new[1:]]
+    schema = T.StructType([*docs.schema.fields, *kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
-        for b in batches:
+        for b in _slices(batches):
             ids = enc.encode_batch(b.column(b.schema.get_field_index(text)).to_pylist())
             off = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in ids], out=off[1:])
-            flat = np.frombuffer(b"".join(ids), "<i4")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(off, flat)], names=[*b.schema.names, column])
+            cols = [pa.ListArray.from_arrays(off, np.frombuffer(b"".join(ids), "<i4"))]
+            if digest is not None:
+                cols.append(pa.array([hashlib.sha256(enc.decode(unpacked(x)).encode()).hexdigest() for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *new])
 
     return docs.mapInArrow(run, schema)
 
@@ -245,7 +259,7 @@ def texts_of(docs: DataFrame, path: str, column: str = "ids", text: str = "decod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
-        for b in batches:
+        for b in _slices(batches):
             got = [enc.decode(x or []) for x in b.column(b.schema.get_field_index(column)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], names=[*b.schema.names, text])
 
@@ -264,7 +278,7 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
-        for b in batches:
+        for b in _slices(batches):
             texts = b.column(1)
             n, a, d = [], [], []
             for ids in enc.encode_batch(texts.to_pylist()):
