@@ -92,3 +92,17 @@ def test_components(spark, edges):
             x, y = root(a), root(b)
             up[max(x, y)] = min(x, y)
     assert got == {x: root(x) for x in list(up)}
+
+
+def test_the_pipeline_links_from_four_fifths_on(spark, docs_schema, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(21)
+    rows = []
+    for k, n in enumerate([60, 50, 45] * 8):  # one changed word: similarities 51/61 = 0.836, 41/51 = 0.804, 36/46 = 0.783
+        words = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[: n // 2], "changed", *words[n // 2 + 1 :]]))]
+    sets = [shingles(t) for _, t in rows]
+    gone = {j for j in range(len(rows)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    df = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in rows], docs_schema)
+    kept = {x.doc_id for x in corpus_pipeline.drop_near_duplicates(spark, df, str(tmp_path)).collect()}
+    assert kept == set(range(len(rows))) - gone and len(gone) == 16
