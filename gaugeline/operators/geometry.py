@@ -33,9 +33,11 @@ def face_metrics(left: Column, right: Column, nose: Column) -> Column:
 def hull(points: DataFrame, by: list[str]) -> DataFrame:
     """(by..., x0, y0, x1, y1): the edges of each group's convex hull, counter-clockwise in x right, y up.
 
-    Two points make an edge if no other point lies to its right; groups are a polygon's few points.
+    Two points make an edge if no other point lies to its right. Corners are the leftmost or rightmost
+    points at their height, so only those are paired: two for each of a group's heights.
     """
-    p = points.select(*by, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).distinct()
+    p = points.select(*by, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    p = p.groupBy(*by, "y").agg(F.array_distinct(F.array(F.min("x"), F.max("x"))).alias("ends")).select(*by, F.explode("ends").alias("x"), "y")
     a = p.withColumnsRenamed({"x": "x0", "y": "y0"})
     b = p.withColumnsRenamed({"x": "x1", "y": "y1"})
     pairs = a.join(b, by).where("x0 <> x1 or y0 <> y1")

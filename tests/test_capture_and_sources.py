@@ -130,3 +130,24 @@ def test_sweep(spark):
     assert got == {float(k): (10 - k, 10.0 + k) for k in range(6)}
     assert sweep.recommended_floor(s, ["c"], 0.25).first().floor == 3.0
     assert sweep.recommended_floor(s, ["c"], None).first().floor is None
+
+
+def test_hulls_of_all_lines(spark, tmp_path):
+    import random
+
+    from gaugeline.plans import registry
+
+    r = random.Random(4)
+    # suppliers of 1, 3, 5, ... lines, on both sides of order 400; the last one's lie on one line
+    rows = [(350 + 7 * k, g, float(r.randrange(1, 30)), r.randrange(1, 8), r.randrange(0, 9) / 100) for g in range(12) for k in range(1 + 2 * g)] + [(900 + k, 99, float(k), k % 7 + 1, 0.0) for k in range(6)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_quantity double, l_linenumber int, l_tax double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = set()
+    for g in {x[1] for x in rows}:
+        pts = {(x[2], float(x[3])) for x in rows if x[1] == g}
+        corners = {(x[2], float(x[3])) for x in rows if x[1] == g and x[4] <= 0.04}
+        turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+        # in a triangle of the corners, its sides included
+        tri = [(a, b, c) for a in corners for b in corners for c in corners if turn(a, b, c) > 0]
+        want |= {(g, *p) for p in pts if any(turn(a, b, p) >= 0 and turn(b, c, p) >= 0 and turn(c, a, p) >= 0 for a, b, c in tri)}
+    got = [(x.g, x.x, x.y) for x in registry.queries()["hull_membership_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
