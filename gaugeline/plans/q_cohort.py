@@ -106,11 +106,20 @@ def holdout_gates(s, d):
     return named(e, "exact_agreement", "exact", g["exact"], True).union(named(e, "adjacent_agreement", "adjacent", g["adjacent"], True)).union(named(spread, F.concat(F.lit("slice_spread["), F.col("column"), F.lit("]")), "spread", g["agreement_spread"], False))
 
 
-def threshold_fit(s, d):
-    rows = _samples(s, d).where("subject_id <= 60")
+def _region_cuts(rows):
     return cohort.fitted_cuts(rows, ["concern", "roi"]).select("concern", "roi", "n", "misclassified", *[F.round(t, 8).alias(t) for t in ("t0", "t1", "t2")], "fitted")
 
 
+def threshold_fit(s, d):
+    """Cuts by region of the first 60 subjects: the part that its SQL can check."""
+    return _region_cuts(_samples(s, d).where("subject_id <= 60"))
+
+
+def threshold_fit_regions(s, d):
+    """Cuts by region of all subjects."""
+    return _region_cuts(_samples(s, d))
+
+
 def threshold_fit_all(s, d):
     out = cohort.fitted_cuts(_samples(s, d), ["concern"])
     return out.select("concern", "n", "misclassified", *[F.round(t, 8).alias(t) for t in ("t0", "t1", "t2")], "fitted")
@@ -122,7 +131,7 @@ def reference_coverage(s, d):
     return policy.missing_regions(ref, primary).select("concern", F.array_join("missing", ",").alias("missing"))
 
 
-QUERIES = {f.__name__: f for f in (subject_means, subject_split, reference_stats, zref_long, roi_band, concern_severity, public_view, majority_vote, agreement_eval, holdout_slices, holdout_gates, threshold_fit, threshold_fit_all, reference_coverage)}
+QUERIES = {f.__name__: f for f in (subject_means, subject_split, reference_stats, zref_long, roi_band, concern_severity, public_view, majority_vote, agreement_eval, holdout_slices, holdout_gates, threshold_fit, threshold_fit_regions, threshold_fit_all, reference_coverage)}
 
 _SAMPLES = f"""{st.ROI_SQL},
 samples AS (

@@ -135,3 +135,27 @@ def test_slices_drop_blanks_and_spread_needs_two(spark):
     s = cohort.sliced(df, ["a", "b"], ["v"]).groupBy("column", "value").agg(F.avg("v").alias("r"), F.count("*").alias("n")).withColumn("gated", F.col("n") >= 5)
     assert {(r["column"], r["value"], r.n) for r in s.collect()} == {("a", "x", 5), ("a", "y", 5), ("a", "z", 1), ("b", "q", 1)}
     assert {r["column"]: r.spread for r in cohort.spread(s, "r").collect()} == {"a": 1.0, "b": None}
+
+
+def test_region_cuts_of_all_subjects(spark):
+    import os
+
+    import numpy as np
+
+    from gaugeline.plans import q_cohort
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no data")
+    groups = {}
+    for x in q_cohort._samples(spark, data).collect():
+        groups.setdefault((x.concern, x.roi), []).append((x.z, x.label, x.subject_id))
+    assert max(x[2] for v in groups.values() for x in v) > 60
+    got = {(x.concern, x.roi): (x.n, x.misclassified) for x in q_cohort.threshold_fit_regions(spark, data).collect()}
+    assert set(got) == set(groups)
+    for g, v in groups.items():
+        lab = np.array([vocab.BANDS.index(x[1]) for x in sorted(v)])
+        c = [np.concatenate([[0], np.cumsum(lab == b)]) for b in range(4)]
+        i, j, k = np.ix_(*[range(len(lab) + 1)] * 3)
+        right = np.where((i <= j) & (j <= k), c[0][i] + (c[1][j] - c[1][i]) + (c[2][k] - c[2][j]) + (c[3][-1] - c[3][k]), -1)
+        assert got[g] == (len(lab), len(lab) - right.max()), g
