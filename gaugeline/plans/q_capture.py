@@ -103,14 +103,48 @@ def capture_verdicts(s, d):
 
 
 def label_queue(s, d):
-    """Each user's first customer without an event of theirs, customers as subjects in order of their key."""
+    """label_queue_all over 40 customers, with events folded onto them: the part that its SQL can check."""
     approved = st.table(s, d, "customer").where("c_custkey <= 40").select(F.col("c_custkey").alias("subject_id"), F.row_number().over(Window.orderBy("c_custkey")).cast("long").alias("position"))
     e = st.table(s, d, "events")
     labels = e.select(F.col("user_id").alias("rater_id"), (F.col("event_id") % 40 + 1).alias("subject_id"))
     return forms.next_subjects(approved, labels, labels.select("rater_id").distinct())
 
 
+#: Customers' keys that are numbered together.
+_KEYS = 1 << 16
+
+
+def _positions(s, d):
+    """(subject_id, position) of all customers in order of their key, numbered in ranges of keys."""
+    c = st.table(s, d, "customer").select(F.col("c_custkey").alias("subject_id"), F.floor(F.col("c_custkey") / _KEYS).alias("range"))
+    sizes = c.groupBy("range").agg(F.count("*").alias("n"))
+    # one row for each range of keys
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy("subject_id"))
+    return c.withColumn("own", own).join(before, "range").select("subject_id", (F.col("before") + F.col("own")).cast("long").alias("position"))
+
+
+def _labels(s, approved, d):
+    """(rater_id, subject_id): events in turn over all customers."""
+    n = approved.count()
+    e = st.table(s, d, "events").select(F.col("user_id").alias("rater_id"), (F.pmod("event_id", F.lit(max(n, 1))) + 1).cast("long").alias("position"))
+    return e.join(approved, "position").select("rater_id", "subject_id")
+
+
+def label_queue_all(s, d):
+    """Each user's first customer without an event of theirs, all customers as subjects in order of their key."""
+    approved = _positions(s, d)
+    raters = st.table(s, d, "events").select(F.col("user_id").alias("rater_id")).distinct()
+    return forms.next_subjects(approved, _labels(s, approved, d), raters)
+
+
+def rater_progress_all(s, d):
+    """Customers that each user has an event for."""
+    return forms.progress(_labels(s, _positions(s, d), d))
+
+
 def rater_progress(s, d):
+    """rater_progress_all with events folded onto 40 subjects: what its SQL counts."""
     e = st.table(s, d, "events")
     return forms.progress(e.select(F.col("user_id").alias("rater_id"), (F.col("event_id") % 40 + 1).alias("subject_id")))
 
@@ -127,7 +161,7 @@ def concern_vocabulary(s, d):
     return keys.select("key", vocab.value_of_key(F.col("key")).alias("value"), vocab.key_of_value(vocab.value_of_key(F.col("key"))).alias("back"))
 
 
-QUERIES = {f.__name__: f for f in (sniff_headers, png_header, webp_header, jpeg_header, limits, outcome_routing, latency_budget, capture_failures, capture_verdicts, label_queue, rater_progress, config_merge, concern_vocabulary)}
+QUERIES = {f.__name__: f for f in (sniff_headers, png_header, webp_header, jpeg_header, limits, outcome_routing, latency_budget, capture_failures, capture_verdicts, label_queue, label_queue_all, rater_progress, rater_progress_all, config_merge, concern_vocabulary)}
 
 _HEX = ", ".join(f"('{k}', '{v}')" for k, v in sorted(HEADERS.items()))
 _H = f"h AS (SELECT name, hexed AS x FROM (VALUES {_HEX}) v(name, hexed))"

@@ -151,3 +151,21 @@ def test_hulls_of_all_lines(spark, tmp_path):
         want |= {(g, *p) for p in pts if any(turn(a, b, p) >= 0 and turn(b, c, p) >= 0 and turn(c, a, p) >= 0 for a, b, c in tri)}
     got = [(x.g, x.x, x.y) for x in registry.queries()["hull_membership_all"](spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
+def test_the_queue_offers_all_customers(spark, tmp_path):
+    from gaugeline.plans import registry
+
+    keys = sorted([*range(3, 120, 2), *range(65530, 65545), 200_000])  # more than 40, with gaps, in three ranges of keys
+    n = len(keys)
+    events = [(k, 1) for k in range(60)] + [(k, 2) for k in range(1, 50)] + [(k, 3) for k in range(2 * n)] + [(n, 4), (n + 1, 4), (2, 4), (0, 5), (2, 5)]
+    spark.createDataFrame([(k,) for k in reversed(keys)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame(events, "event_id long, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    done = {}
+    for e, u in events:
+        done.setdefault(u, set()).add(keys[e % n])
+    first = {u: min(set(keys) - v) for u, v in done.items() if set(keys) - v}
+    got = registry.queries()["label_queue_all"](spark, str(tmp_path)).collect()
+    assert sorted((x.rater_id, x.subject_id) for x in got) == sorted(first.items()) and set(first) == {1, 2, 4, 5} and first[1] > 40
+    got = registry.queries()["rater_progress_all"](spark, str(tmp_path)).collect()
+    assert {x.rater_id: x.done for x in got} == {u: len(v) for u, v in done.items()} and len(done[3]) > 40
