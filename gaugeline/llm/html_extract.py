@@ -7,11 +7,13 @@ without links are summed over sliding windows of lines; the main text begins whe
 sums surge over a share of their peak and ends where they dive below it. As short lines at either
 end of an article fall below any share, the range between surge and dive is widened
 to the element that holds it: the article or main element around its heaviest line, or
-else the innermost element around all of the range's lines.
+else the outermost element that adds mostly unlinked text to the innermost one around the
+range's lines of weight. There, blocks that are links alone stay between others, and go at the ends.
 
 Defined results. A null or empty page, and one without text, gives the empty string.
 Character references are decoded, white space in a block becomes one space, blocks are
-joined in page order by one space. Broken markup is read as browsers do: an unclosed
+joined in page order by one space. A page of linked text alone gives all of it, outside
+an article or main element too. Broken markup is read as browsers do: an unclosed
 element ends with its parent, an unknown end tag is ignored, a quote left open ends with its tag, a tag cut off by the page's
 end is dropped. Repeated rows give equal results; other columns are passed through.
 """
@@ -212,6 +214,16 @@ def surge_and_dive(sizes: list[int], window: int = WINDOW, share: float = SURGE)
     return a, b + 1
 
 
+def _widened(lines: list[Line], around: tuple) -> list[Line]:
+    """The lines of the outermost element that adds nothing, or mostly unlinked text, to the element ``around``."""
+    for k in range(len(around) + 1):
+        kept = [x for x in lines if x.around[:k] == around[:k]]
+        added = [x for x in kept if x.around[: len(around)] != around]
+        if 2 * sum(x.size for x in added) >= sum(len(x.text) for x in added):
+            return kept
+    return kept
+
+
 def main_text(html: str | None) -> str:
     """The text of the page's article."""
     if not html:
@@ -241,8 +253,9 @@ def main_text(html: str | None) -> str:
         shared = shared[:k]
     if len(weighty) == 1 and shared and shared[-1][1] not in ("div", "section", "td", "body"):
         shared = shared[:-1]  # a paragraph alone: its parent
-    kept = [x for x in lines if not shared or x.around[: len(shared)] == shared]
-    return " ".join(x.text for x in kept if x.size > 0 or not shared)
+    kept = _widened(lines, shared)
+    solid = [k for k, x in enumerate(kept) if x.size > 0]
+    return " ".join(x.text for x in (kept[solid[0] : solid[-1] + 1] if solid else lines))
 
 
 def extracted(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

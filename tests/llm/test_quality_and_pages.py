@@ -143,3 +143,17 @@ def test_shards(spark, docs_schema):
     assert sharding.sharded(spark.createDataFrame([], docs_schema), 16).count() == 0
     one = sharding.sharded(spark.createDataFrame([(1, None, None, None, None)], docs_schema), 16).collect()
     assert [(g.size, g.slot) for g in one] == [(1, 0)]
+
+
+def test_sections_beside_one_very_long_block():
+    long, short = "x" * 9 + " ", "y" * 7 + " "
+    for n in (50, 500, 50_000):
+        a, b = (long * n).strip(), (short * 100).strip()
+        assert html_extract.main_text(f"<body><div><section><p>{a}</p></section><section><p>{b}</p></section></div></body>") == f"{a} {b}"
+        assert html_extract.main_text(f"<body><div><section><p>{b}</p></section><section><h2>T</h2><p>{a}</p></section><section><p>{b}</p><p>End.</p></section></div>") == f"{b} T {a} {b} End."
+    a = (long * 500).strip()
+    # linked blocks stay inside, and go around; a list of links does not widen
+    links = "<ul><li><a href=1>One other page</a><li><a href=2>Two other pages</a></ul>"
+    assert html_extract.main_text(f"<body><div>{links}</div><div><p>{a}</p><p><a href=3>Source</a></p><p>End.</p></div><div>{links}</div></body>") == f"{a} Source End."
+    assert html_extract.main_text(f"<body><div>{links}<div><p>{a}</p><p>End.</p></div></div></body>") == f"{a} End."
+    assert html_extract.main_text(f"<body>{links}</body>") == "One other page Two other pages"
