@@ -26,8 +26,8 @@ from gaugeline.llm import _text
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 #: Least share of words in content lines.
 LEAST_CONTENT = 0.5
-#: Most labelled documents that the field is fitted on, and of each, most lines.
-SAMPLE_DOCS, SAMPLE_LINES = 2000, 64
+#: Most labelled documents that the field is fitted on, each with all its lines.
+SAMPLE_DOCS = 2000
 
 FEATURES = ("bias", "symbols", "bars", "capitals", "shouts", "digits", "word_length", "few_words", "ends_sentence", "repeats", "long_words", "duplicate")
 
@@ -156,33 +156,42 @@ def viterbi(scores: np.ndarray, move: np.ndarray) -> np.ndarray:
 
 def train(features: list[np.ndarray], labels: list[np.ndarray], rounds: int = 150, rate: float = 1.0, ridge: float = 1e-3) -> Weights:
     """Weights that maximise the likelihood of the line labels, by forward-backward over all sequences at once."""
-    n, k = len(features), max(map(len, features))
-    x = np.zeros((n, k, len(FEATURES)))
-    y = np.zeros((n, k), np.int64)
-    live = np.zeros((n, k), bool)
-    for i, (f, lab) in enumerate(zip(features, labels, strict=True)):
-        x[i, : len(f)], y[i, : len(f)], live[i, : len(f)] = f, lab, True
+    order = sorted(range(len(features)), key=lambda i: -len(features[i]))
+    size = np.array([len(features[i]) for i in order])
+    # the longest sequence first, position by position: at position t stand the sequences that reach it, rows at[t] to at[t + 1]
+    reach = np.searchsorted(-size, -np.arange(size[0]), "left")
+    at = np.concatenate([[0], np.cumsum(reach)])
+    seq = np.concatenate([np.arange(m) for m in reach])
+    pos = np.repeat(np.arange(size[0]), reach)
+    starts = np.concatenate([[0], np.cumsum(size)])
+    rows = starts[seq] + pos
+    x = np.concatenate([features[i] for i in order])[rows]
+    y = np.concatenate([labels[i] for i in order])[rows].astype(np.int64)
+    last = at[size - 1] + np.arange(len(size))
+    here = np.arange(reach[0], len(seq))
+    before = at[pos[here] - 1] + seq[here]
     w, move = np.zeros(len(FEATURES)), np.zeros((2, 2))
-    lines = live.sum()
+    lines = len(seq)
     seen = np.zeros((2, 2))
-    pair = live[:, 1:]
-    np.add.at(seen, (y[:, :-1][pair], y[:, 1:][pair]), 1)
+    np.add.at(seen, (y[before], y[here]), 1)
+    spans = at.tolist()
     for _ in range(rounds):
-        s = np.stack([np.zeros((n, k)), x @ w], axis=2)
-        ahead, behind = np.zeros((n, k, 2)), np.zeros((n, k, 2))
-        ahead[:, 0] = s[:, 0]
-        for t in range(1, k):
-            step = np.logaddexp(ahead[:, t - 1, :1] + move[0], ahead[:, t - 1, 1:] + move[1]) + s[:, t]
-            ahead[:, t] = np.where(live[:, t, None], step, ahead[:, t - 1])
-        for t in range(k - 2, -1, -1):
-            later = s[:, t + 1] + behind[:, t + 1]
-            step = np.logaddexp(move[:, 0] + later[:, :1], move[:, 1] + later[:, 1:])
-            behind[:, t] = np.where(live[:, t + 1, None], step, behind[:, t + 1])
-        total = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
-        p = np.exp(ahead[..., 1] + behind[..., 1] - total[:, None]) * live
-        both = ahead[:, :-1, :, None] + move + (s + behind)[:, 1:, None, :] - total[:, None, None, None]
-        expected = (np.exp(np.minimum(both, 0)) * pair[..., None, None]).sum(axis=(0, 1))
-        w += rate * (((y - p) * live)[..., None] * x).sum(axis=(0, 1)) / lines * 8 - rate * ridge * w
+        s = np.stack([np.zeros(lines), x @ w], axis=1)
+        ahead, behind = np.zeros((lines, 2)), np.zeros((lines, 2))
+        ahead[: reach[0]] = s[: reach[0]]
+        for t in range(1, len(reach)):
+            p, q, r = spans[t - 1], spans[t], spans[t + 1]
+            was = ahead[p : p + r - q]
+            ahead[q:r] = np.logaddexp(was[:, :1] + move[0], was[:, 1:] + move[1]) + s[q:r]
+        for t in range(len(reach) - 2, -1, -1):
+            p, q, r = spans[t], spans[t + 1], spans[t + 2]
+            later = s[q:r] + behind[q:r]
+            behind[p : p + r - q] = np.logaddexp(move[:, 0] + later[:, :1], move[:, 1] + later[:, 1:])
+        total = np.logaddexp(ahead[last, 0], ahead[last, 1])[seq]
+        p = np.exp(ahead[:, 1] + behind[:, 1] - total)
+        both = ahead[before][:, :, None] + move + (s + behind)[here][:, None, :] - total[here][:, None, None]
+        expected = np.exp(np.minimum(both, 0)).sum(axis=0)
+        w += rate * ((y - p)[:, None] * x).sum(axis=0) / lines * 8 - rate * ridge * w
         move += rate * (seen - expected) / lines * 2 - rate * ridge * move
     return w, move
 
@@ -195,7 +204,6 @@ def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     parts = [known.where(F.col("quality") == q).orderBy("h", "key").limit(most // 2) for q in (0, 1)]
     few = parts[0].union(parts[1]).select("key", "quality")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(few), "key").where("text is not null")  # at most ``most`` rows
-    # whole texts go to the fit; its lines are bounded there
     return [(r["text"], r["quality"]) for r in rows.dropDuplicates(["key"]).select("text", "quality").collect()]
 
 
@@ -208,7 +216,7 @@ def fit(texts: list[tuple[str, int]]) -> Weights:
     b = Batch(*_text.column_bytes(col))
     xs, ys = [], []
     for k, (_, q) in enumerate(texts):
-        f = b.features[b.owner == k][:SAMPLE_LINES]
+        f = b.features[b.owner == k]
         if len(f):
             xs.append(f)
             ys.append(np.full(len(f), 1 - q))

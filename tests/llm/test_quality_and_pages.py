@@ -157,3 +157,34 @@ def test_sections_beside_one_very_long_block():
     assert html_extract.main_text(f"<body><div>{links}</div><div><p>{a}</p><p><a href=3>Source</a></p><p>End.</p></div><div>{links}</div></body>") == f"{a} Source End."
     assert html_extract.main_text(f"<body><div>{links}<div><p>{a}</p><p>End.</p></div></div></body>") == f"{a} End."
     assert html_extract.main_text(f"<body>{links}</body>") == "One other page Two other pages"
+
+
+def test_late_lines_reach_the_field():
+    r = np.random.default_rng(6)
+    vocab = ["river", "stone", "garden", "walks", "slowly", "under", "evening", "light", "and", "the"]
+    plain = lambda n: [" ".join(r.choice(vocab, 8)).capitalize() + "." for _ in range(n)]
+    late = lambda n: ["*** ".join(r.choice(vocab, 8)) + " $$$ |" for _ in range(n)]
+    texts = [("\n".join(plain(int(r.integers(1, 150)))), 1) for _ in range(40)] + [("\n".join(plain(64) + late(int(r.integers(60, 200)))), 0) for _ in range(40)]
+    w, move = quality_rules.fit(texts)
+    lines = quality_rules.Batch(*quality_rules._text.column_bytes(pa.array(["\n".join(plain(100) + late(100))], pa.large_string()))).features
+    assert quality_rules.viterbi(lines @ w, move)[100:].all() and w[quality_rules.FEATURES.index("symbols")] > 1
+
+
+def test_training_equals_every_sequence():
+    r = np.random.default_rng(8)
+    fs = [r.random((n, len(quality_rules.FEATURES))) for n in (3, 1, 5, 4, 5)]
+    ys = [r.integers(0, 2, len(f)) for f in fs]
+    w, move = quality_rules.train(fs, ys, rounds=1)
+    lines, g, m = sum(map(len, fs)), np.zeros(w.shape), np.zeros((2, 2))
+    for f, y in zip(fs, ys, strict=True):
+        every = [[k >> i & 1 for i in range(len(f))] for k in range(2 ** len(f))]
+        score = np.exp([sum(f[i] @ w * s[i] for i in range(len(f))) + sum(move[s[i], s[i + 1]] for i in range(len(f) - 1)) for s in every])
+        score /= score.sum()
+        for i in range(len(f)):
+            g += (y[i] - sum(q * s[i] for q, s in zip(score, every, strict=True))) * f[i]
+        for i in range(len(f) - 1):
+            m[y[i], y[i + 1]] += 1
+            for q, s in zip(score, every, strict=True):
+                m[s[i], s[i + 1]] -= q
+    two = quality_rules.train(fs, ys, rounds=2)
+    assert np.allclose(two[0], w + g / lines * 8 - 1e-3 * w) and np.allclose(two[1], move + m / lines * 2 - 1e-3 * move)
