@@ -1,35 +1,41 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped in one pass that keeps, for every line (a block's text), its length,
-the part of it inside links, and the elements around it. Elements that hold no article
-by their name, role, class or id are stripped with all they hold. Then text lengths
-without links are summed over sliding windows of lines; the main text begins where the
-sums surge over a share of their peak and ends where they dive below it. As short lines at either
-end of an article fall below any share, the range between surge and dive is widened
-to the element that holds it: the article or main element around its heaviest line, or
-else the outermost element that adds mostly unlinked text to the innermost one around the
-range's lines of weight. There, blocks that are links alone stay between others, and go at the ends.
+Markup is stripped in one pass that keeps, for every line (a block's text), its length, the
+part of it inside links, and its element. Then text lengths are summed over sliding windows
+of lines: around the window with the most text, the main text surges where the sums leave
+zero and dives where they return to it, and what stands between is kept. No share of the peak is
+compared, so one very long block hides no short one.
+
+Tags only shape the distribution. Elements that hold no article by their name, role, class or
+id are stripped with all they hold, and leave an empty line where they stood; text in links has no
+length outside an article or main element; and an article or main element has a window of empty lines at either
+border, so that text dives there. Without such an element, the range is widened to the outermost element that adds mostly unlinked
+text to the innermost one around the range, as a list of links can stand between an article's
+sections. Blocks that are links alone stay between others, and go at the ends.
 
 Defined results. A null or empty page, and one without text, gives the empty string.
 Character references are decoded, white space in a block becomes one space, blocks are
-joined in page order by one space. A page of linked text alone gives all of it, outside
-an article or main element too. Broken markup is read as browsers do: an unclosed
+joined in page order by one space. A page of linked text alone gives all of it. Of windows with
+equal sums the first counts. Broken markup is read as browsers do: an unclosed
 element ends with its parent, an unknown end tag is ignored, a quote left open ends with its tag, a tag cut off by the page's
-end is dropped. Repeated rows give equal results; other columns are passed through.
+end is dropped. Repeated rows give equal results; other columns are passed through, and one named as the result is
+replaced. Time and memory are in proportion to a page's length, however deep its elements stand.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Lines of a sliding window, and the share of the peak sum at which text surges and dives.
-WINDOW, SURGE = 3, 0.2
+#: Lines of a sliding window.
+WINDOW = 3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -54,6 +60,7 @@ MARKS = frozenset(
     "disclaimer skip skiplink alert hidden paywall teaser outbrain taboola trending aside rail privacy reply responses feedback".split()
 )
 _COMMENTS = frozenset("comment comments commentlist disqus replies reply respond responses discussion feedback".split())
+_ITEMS = frozenset("li dt dd option tr td th".split())
 _NOWHERE = 1 << 30
 #: Words that turn a mark into something else, as in has-sidebar; and, for a header, those that make it an article's own.
 NOT_MARKS = frozenset("has no with without".split())
@@ -97,50 +104,98 @@ def _words(a: dict[str, str]) -> list[str]:
     return _split(a.get("class", "") + " " + a.get("id", ""))
 
 
+class Element:
+    """An open or closed element; its lines are those numbered from first to last (exclusive)."""
+
+    __slots__ = ("name", "parent", "block", "off", "first", "last")
+
+    def __init__(self, name: str, parent: Element | None, off: int, first: int):
+        self.name, self.parent, self.off, self.first, self.last = name, parent, off, first, -1
+        #: The nearest element, itself included, that is a block.
+        self.block: Element | None = self if name not in INLINE else parent
+
+
 class Line:
-    """A block's text with the elements around it: (number, name) from the outside in."""
+    """A block's text, its length that counts, the empty lines before it, and its element."""
+
+    __slots__ = ("text", "size", "gap", "element", "in_article")
+
+    def __init__(self, text: str, size: int, gap: int, element: Element | None, in_article: bool):
+        self.text, self.size, self.gap, self.element, self.in_article = text, size, gap, element, in_article
 
-    __slots__ = ("text", "size", "around")
 
-    def __init__(self, text: str, linked: int, around: tuple):
-        self.text, self.size, self.around = text, max(0, len(text) - linked), around
+class _Open:
+    """The open elements, and by name their places, so that none is searched for."""
+
+    def __init__(self) -> None:
+        self.stack: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+
+    def find(self, name: str, stop: tuple[str, ...] = ()) -> int:
+        """The place of the innermost open element of that name, or -1; -1 too if one of ``stop`` is open inside it."""
+        own = self.places.get(name)
+        if not own:
+            return -1
+        for s in stop:
+            if (x := self.places.get(s)) and x[-1] > own[-1]:
+                return -1
+        return own[-1]
+
+    def push(self, e: Element) -> None:
+        self.places.setdefault(e.name, []).append(len(self.stack))
+        self.stack.append(e)
+
+    def pop(self) -> Element:
+        e = self.stack.pop()
+        self.places[e.name].pop()
+        return e
 
 
 def lines_of(html: str, recover: bool = False) -> list[Line]:
     """The page's lines outside stripped elements; recover takes an article or main element back, unless it stands among comments."""
     out: list[Line] = []
-    stack: list[tuple[int, str, int]] = []  # number, name, by how much it raises the count of stripped elements
+    opened = _Open()
+    stack = opened.stack
     parts: list[str] = []
-    linked = links = number = 0
-    dropped = in_article = 0
+    linked = links = gap = 0
+    dropped = 0
+    inside = {"article": 0, "main": 0}
     among_comments = _NOWHERE  # the depth of the outermost element of comments
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, gap
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append(Line(text, linked, tuple((n, x) for n, x, _ in stack if x not in INLINE)))
+                own = inside["article"] + inside["main"] > 0
+                out.append(Line(text, len(text) if own else max(0, len(text) - linked), gap, stack[-1].block if stack else None, own))
+                gap = 0
         linked = 0
 
-    def close(k: int) -> None:
-        nonlocal dropped, in_article, links, among_comments
-        for _, name, off in reversed(stack[k:]):
-            dropped -= off
-            in_article -= name in ("article", "main")
-            links -= name == "a"
-        del stack[k:]
+    def border(name: str) -> bool:
+        """Whether an element's tag is the border of an article, none being open outside it."""
+        return not inside["article"] and (name == "article" or name == "main" and not inside["main"])
+
+    def close(k: int) -> bool:
+        """Closes all from place k on; whether a stripped element was among them."""
+        nonlocal dropped, links, among_comments, gap
+        stripped = False
+        while len(stack) > k:
+            e = opened.pop()
+            e.last = len(out)
+            stripped |= e.off != 0
+            dropped -= e.off
+            links -= e.name == "a"
+            if e.name in inside:
+                inside[e.name] -= 1
+                if border(e.name):
+                    gap += WINDOW
+        if stripped and not dropped and not any(inside.values()):
+            gap += 1
         if among_comments >= k:
             among_comments = _NOWHERE
-
-    def find(name: str, stop: frozenset = frozenset()) -> int:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][1] == name:
-                return k
-            if stack[k][1] in stop:
-                break
-        return -1
+        return stripped
 
     at, n = 0, len(html)
     while at < n:
@@ -165,13 +220,9 @@ def lines_of(html: str, recover: bool = False) -> list[Line]:
         if name not in INLINE and not dropped:
             flush()
         if m[1] or m[4]:  # an end tag
-            if (k := find(name)) >= 0:
-                if any(x[2] for x in stack[k:]):
-                    close(k)
-                    parts.clear()
-                    linked = 0
-                else:
-                    close(k)
+            if (k := opened.find(name)) >= 0 and close(k):
+                parts.clear()
+                linked = 0
             continue
         if name in VOID:
             continue
@@ -180,48 +231,87 @@ def lines_of(html: str, recover: bool = False) -> list[Line]:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(html, at)
             at = end.end() if end else n
             continue
-        if name not in INLINE and (k := find("p", frozenset(("button", "td", "th", "table")))) >= 0:
+        if name not in INLINE and (k := opened.find("p", ("button", "td", "th", "table"))) >= 0:
             close(k)
-        if name in ("li", "dt", "dd", "option", "tr", "td", "th") and (k := find(name, frozenset(("ul", "ol", "dl", "table", "menu")))) >= 0:
+        if name in _ITEMS and (k := opened.find(name, ("ul", "ol", "dl", "table", "menu"))) >= 0:
             close(k)
-        off = int(not dropped and _marked(name, attrs, in_article > 0))
+        off = int(not dropped and _marked(name, attrs, any(inside.values())))
         if recover:
             if among_comments == _NOWHERE and _COMMENTS & {*_words(_attributes(attrs))}:
                 among_comments = len(stack)
-            if dropped and name in ("article", "main") and among_comments == _NOWHERE:
+            if dropped and name in inside and among_comments == _NOWHERE:
                 off = -dropped
-        number += 1
-        stack.append((number, name, off))
+        e = Element(name, stack[-1].block if stack else None, off, len(out))
+        opened.push(e)
         dropped += off
-        in_article += name in ("article", "main")
         links += name == "a"
+        if name in inside:
+            if border(name):
+                gap += WINDOW
+            inside[name] += 1
     if not dropped:
         flush()
+    for e in stack:
+        e.last = len(out)
     return out
 
 
-def surge_and_dive(sizes: list[int], window: int = WINDOW, share: float = SURGE) -> tuple[int, int]:
-    """The range of lines (end exclusive) around the peak of the sliding sums, from where they surge to where they dive."""
+def surge_and_dive(sizes: list[int], window: int = WINDOW) -> tuple[int, int]:
+    """The range of lines (end exclusive) around the peak of the sliding sums, from where they surge from zero to where they dive to it."""
+    before = [0, *accumulate(sizes)]
     n = len(sizes)
-    sums = [sum(sizes[k : k + window]) for k in range(n)]
+    sums = [before[min(k + window, n)] - before[k] for k in range(n)]
     peak = max(range(n), key=sums.__getitem__)
-    least = sums[peak] * share
     a, b = peak, peak
-    while a > 0 and sums[a - 1] >= least:
+    while a > 0 and sums[a - 1] > 0:
         a -= 1
-    while b + 1 < n and sums[b + 1] >= least:
+    while b + 1 < n and sums[b + 1] > 0:
         b += 1
     return a, b + 1
 
 
-def _widened(lines: list[Line], around: tuple) -> list[Line]:
-    """The lines of the outermost element that adds nothing, or mostly unlinked text, to the element ``around``."""
-    for k in range(len(around) + 1):
-        kept = [x for x in lines if x.around[:k] == around[:k]]
-        added = [x for x in kept if x.around[: len(around)] != around]
-        if 2 * sum(x.size for x in added) >= sum(len(x.text) for x in added):
-            return kept
-    return kept
+def _range(lines: list[Line], window: int = WINDOW) -> tuple[int, int]:
+    """The lines (end exclusive) between surge and dive, empty lines counted, without those of no length at either end."""
+    sizes: list[int] = []
+    place = []
+    for x in lines:
+        sizes += [0] * min(x.gap, window)
+        place.append(len(sizes))
+        sizes.append(x.size)
+    a, b = surge_and_dive(sizes, window)
+    return _trimmed(lines, bisect_left(place, a), bisect_left(place, b))
+
+
+def _trimmed(lines: list[Line], a: int, b: int) -> tuple[int, int]:
+    while a < b and not lines[a].size:
+        a += 1
+    while a < b and not lines[b - 1].size:
+        b -= 1
+    return a, b
+
+
+def _widened(lines: list[Line], a: int, b: int) -> tuple[int, int]:
+    """The lines of the outermost element that adds nothing, or mostly unlinked text, to the innermost element around lines a to b."""
+    shared = lines[a].element
+    while shared is not None and not (shared.first <= a and b <= shared.last):
+        shared = shared.parent
+    if b - a == 1 and shared is not None and shared.name not in ("div", "section", "td", "body"):
+        shared = shared.parent  # a paragraph alone: its parent
+    if shared is None:
+        return 0, len(lines)
+    size = [0, *accumulate(x.size for x in lines)]
+    length = [0, *accumulate(len(x.text) for x in lines)]
+    a, b = best = shared.first, shared.last
+    around: list[tuple[int, int]] = [(0, len(lines))]
+    chain = []
+    while shared is not None:
+        chain.append((shared.first, shared.last))
+        shared = shared.parent
+    for lo, hi in around + chain[::-1]:
+        more = [x[hi] - x[lo] - x[b] + x[a] for x in (size, length)]
+        if 2 * more[0] >= more[1]:
+            return lo, hi
+    return best
 
 
 def main_text(html: str | None) -> str:
@@ -229,33 +319,17 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     lines = lines_of(html)
-    inside = lambda x: any(n in ("article", "main") for _, n in x.around)
-    if not any(map(inside, lines)) and re.search(r"<(?:article|main)[\s>]", html, re.IGNORECASE):
+    if not any(x.in_article for x in lines) and re.search(r"<(?:article|main)[\s>]", html, re.IGNORECASE):
         # an unclosed stripped element can swallow the article: it is taken back if it outweighs what is left
         again = lines_of(html, recover=True)
-        if sum(x.size for x in again if inside(x)) > sum(x.size for x in lines):
+        if sum(x.size for x in again if x.in_article) > sum(x.size for x in lines):
             lines = again
-    if not lines:
-        return ""
-    a, b = surge_and_dive([x.size for x in lines])
-    core = lines[a:b]
-    heavy = max(core, key=lambda x: x.size)
-    for want in ("article", "main"):
-        if inner := [x for x in heavy.around if x[1] == want]:
-            return " ".join(x.text for x in lines if inner[-1] in x.around)
-    # the innermost element around all lines of the range that carry weight
-    weighty = [x for x in core if 4 * x.size >= heavy.size] or core
-    shared = weighty[0].around
-    for x in weighty[1:]:
-        k = 0
-        while k < min(len(shared), len(x.around)) and shared[k] == x.around[k]:
-            k += 1
-        shared = shared[:k]
-    if len(weighty) == 1 and shared and shared[-1][1] not in ("div", "section", "td", "body"):
-        shared = shared[:-1]  # a paragraph alone: its parent
-    kept = _widened(lines, shared)
-    solid = [k for k, x in enumerate(kept) if x.size > 0]
-    return " ".join(x.text for x in (kept[solid[0] : solid[-1] + 1] if solid else lines))
+    if not any(x.size for x in lines):
+        return " ".join(x.text for x in lines)
+    a, b = _range(lines)
+    if not lines[a].in_article:
+        a, b = _trimmed(lines, *_widened(lines, a, b))
+    return " ".join(x.text for x in lines[a:b])
 
 
 def extracted(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

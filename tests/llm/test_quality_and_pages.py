@@ -199,3 +199,39 @@ def test_threshold_weighs_good_documents_as_named():
         cuts[keep] = quality_classifier.threshold(x, good, keep)
         assert abs(score(cuts[keep]) - max(map(score, [-np.inf, *x]))) < 1e-9
     assert cuts[1.0] > cuts[3.0] > cuts[10.0] == quality_classifier.threshold(x, good)
+
+
+def test_surge_and_dive_decide(monkeypatch):
+    text = "One sentence of the article, as long as it is. " * 4
+    links = "<div>" + "".join(f"<p><a href={k}>Another page {k}</a></p>" for k in range(4)) + "</div>"
+    pages = {
+        # words around an article that no mark tells apart
+        f"<body><div>Our house</div><article><h1>T</h1><p>{text}</p><p>End.</p></article><div>Made by us, with care</div></body>": f"T {text.strip()} End.",
+        # no article element: a run of links on either side
+        f"<body><div>Our house</div>{links}<div><p>{text}</p><p>End.</p></div>{links}<div>Made by us</div></body>": f"{text.strip()} End.",
+    }
+    assert [html_extract.main_text(p) for p in pages] == list(pages.values())
+    monkeypatch.setattr(html_extract, "surge_and_dive", lambda sizes, window=3: (0, len(sizes)))
+    assert all(html_extract.main_text(p).startswith("Our house") and html_extract.main_text(p).endswith("us" if "Made by us<" in p else "with care") for p in pages)
+
+
+def test_surge_and_dive_equals_plain_sums():
+    r = np.random.default_rng(7)
+    for _ in range(200):
+        sizes = (r.integers(0, 5, int(r.integers(1, 30))) * (r.random() < 0.9) * r.integers(0, 2)).tolist()
+        sums = [sum(sizes[k : k + 3]) for k in range(len(sizes))]
+        peak = sums.index(max(sums))
+        a = max([k + 1 for k in range(peak) if sums[k] == 0], default=0)
+        b = min([k for k in range(peak + 1, len(sums)) if sums[k] == 0], default=len(sums))
+        assert html_extract.surge_and_dive(sizes) == (a, b)
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    deep = {"<div>x": 60_000, "<p><button><div>x": 30_000, "<article><ul><li>x": 30_000, "<b><p>x": 30_000}
+    for part, n in deep.items():
+        start = time.monotonic()
+        html_extract.main_text(part * n)
+        assert time.monotonic() - start < 30, part
+    assert html_extract.main_text("<div>x" * 60_000) == " ".join("x" * 60_000)
