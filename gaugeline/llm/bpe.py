@@ -9,10 +9,16 @@ however often it occurs, and so is each chunk between white space.
 
 Normalising and splitting follow the tokenizer file: NFC, white space runs to one
 space, lower case by single characters, then the file's split expression, bytes to
-symbols, and an end-of-word mark on each word's last symbol. Special tokens in a
+symbols, and an end-of-word mark on each word's last symbol. Which characters compose, have
+a lower case, or are letters or numbers differs between versions of Unicode, so for characters beyond ASCII the
+library's own tables are asked, once for each chunk and character: no other module's tables agree
+with it on all code points. Special tokens in a
 text are found before normalising. Decoding joins tokens by one space, as the
 library does for a file without a decoder.
 
+One index spans the texts of a partition up to INDEX_CHARS characters and then starts anew, so that
+memory does not grow with the partition; a word that was encoded is kept for the next.
+
 Defined results: a null or empty text has no tokens and decodes to the empty
 string; nothing is truncated or padded.
 """
@@ -22,18 +28,18 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Chunks and words whose ids are kept from one batch to the next, and texts' characters that one index holds.
 KEEP_CHUNKS, KEEP_WORDS, INDEX_CHARS = 150_000, 150_000, 2_000_000
-#: Rows that are encoded and sent back at a time, so that memory does not depend on the size of a batch.
-SLICE = 500
+#: UTF-8 bytes of texts that are encoded and sent back at a time, so that memory does not depend on the size of a batch; a longer text goes alone.
+SLICE_BYTES = 2_000_000
 #: Ids are below this, so that a pair is one number.
 SPAN = 1 << 20
 
@@ -45,11 +51,25 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+class _Kinds(dict):
+    """By code point, itself in ASCII, else a letter, digit, space or mark that stands for its class; classes are asked for as they are met."""
+
+    def __init__(self, kinds: list):
+        self.kinds = kinds
+
+    def __missing__(self, code: int) -> int:
+        c = chr(code)
+        out = code if code < 128 else ord(next((k for k, split in self.kinds if not split.pre_tokenize_str(c)), "!"))
+        self[code] = out
+        return out
+
+
 class Encoder:
     """A tokenizer file's tables, and the index over words."""
 
     def __init__(self, spec: str | dict):
         import regex
+        from tokenizers import Regex, normalizers, pre_tokenizers
 
         t = json.loads(spec) if isinstance(spec, str) else spec
         m = t["model"]
@@ -62,7 +82,13 @@ class Encoder:
         self.names |= {i: s for s, i in self.special.items()}
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         split = next(p for p in t["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self._words = regex.compile(split["pattern"]["Regex"])
+        lower = [x["type"] for x in t["normalizer"]["normalizers"]]
+        if lower != ["NFC", "Replace", "Lowercase"]:
+            raise ValueError("this tokenizer normalises in another way")
+        #: The library's tables: composed form and lower case, and the characters of a class.
+        self._normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        self._kinds = [(k, pre_tokenizers.Split(Regex(x), "removed")) for k, x in (("a", r"\p{L}"), ("0", r"\p{N}"), (" ", r"\s"))]
+        self._kind_of = _Kinds(self._kinds)
         self._space = regex.compile(r"\s+")
         self._bytes = [self.vocab.get(s, -1) for s in byte_symbols()]
         self._tails = [self.vocab.get(s + self.tail, -1) for s in byte_symbols()]
@@ -89,9 +115,9 @@ class Encoder:
         if chunk.isascii():
             chunk = chunk.lower()
             return [chunk] if chunk.isalpha() else self._plain.findall(chunk)
-        # a sigma is lowered by itself, without regard to its place in the word
-        chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        return [chunk] if chunk.isalpha() else self._words.findall(chunk)
+        chunk = self._normal.normalize_str(chunk)
+        # the split expression sees one ASCII character of the same class for each
+        return [chunk[m.start() : m.end()] for m in self._plain.finditer(chunk.translate(self._kind_of))]
 
     def pieces(self, text: str) -> list[str | int]:
         """A text's chunks; a special token stands as its id."""
@@ -217,10 +243,17 @@ def encoder(spec: str) -> Encoder:
     return Encoder(spec)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of rows with about SLICE_BYTES of text (a list's entries count 4 bytes)."""
     for b in batches:
-        for at in range(0, b.num_rows, SLICE):
-            yield b.slice(at, SLICE)
+        col = b.column(b.schema.get_field_index(text))
+        size = pc.multiply(pc.list_value_length(col), 4) if pa.types.is_list(col.type) else pc.binary_length(col)
+        upto = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, done = 0, 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, done + SLICE_BYTES, "right")))
+            yield b.slice(at, end - at)
+            at, done = end, int(upto[end - 1])
 
 
 def tokens_of(docs: DataFrame, path: str, text: str = "text", column: str = "ids", digest: str | None = None) -> DataFrame:
@@ -237,7 +270,7 @@ def tokens_of(docs: DataFrame, path: str, text: str = "text", column: str = "ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
-        for b in _slices(batches):
+        for b in _slices(batches, text):
             ids = enc.encode_batch(b.column(b.schema.get_field_index(text)).to_pylist())
             off = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in ids], out=off[1:])
@@ -259,7 +292,7 @@ def texts_of(docs: DataFrame, path: str, column: str = "ids", text: str = "decod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
-        for b in _slices(batches):
+        for b in _slices(batches, column):
             got = [enc.decode(x or []) for x in b.column(b.schema.get_field_index(column)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], names=[*b.schema.names, text])
 
@@ -278,7 +311,7 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
-        for b in _slices(batches):
+        for b in _slices(batches, text):
             texts = b.column(1)
             n, a, d = [], [], []
             for ids in enc.encode_batch(texts.to_pylist()):

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugeline.llm import bpe
 
-#: Where the public tokenizers' files lie, unless the environment says otherwise.
-TOKENIZERS = os.environ.get("GAUGELINE_TOKENIZERS", "/opt/tokenizers")
+#: The public tokenizer's file.
+PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return bpe.round_trip(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.round_trip(docs, PATH)
 
 
 QUERIES = {"op7_bpe": op7_bpe}

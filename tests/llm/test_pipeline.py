@@ -1,4 +1,3 @@
-import os
 import random
 
 import pytest
@@ -8,8 +7,6 @@ from gaugeline.llm import q_tokens, secret_scan  # noqa: E402
 from tests.llm.test_neardup import brute  # noqa: E402
 from tests.llm.test_topk_and_mixing import simulate  # noqa: E402
 
-pytestmark = pytest.mark.skipif(not os.path.exists(f"{q_tokens.TOKENIZERS}/word_bpe_49k.json"), reason="no tokenizer file")
-
 
 def test_stages_against_brute_force(spark, docs_schema, tmp_path):
     from tokenizers import Tokenizer
@@ -49,6 +46,6 @@ def test_stages_against_brute_force(spark, docs_schema, tmp_path):
     order = [x.doc_id for x in sorted(last, key=lambda x: (x.mix_part, x.mix_row))]
     want = sorted(simulate([(x[0], x[3]) for x in alone], corpus_pipeline.q_mixing.WEIGHTS, corpus_pipeline.q_mixing.OTHER, corpus_pipeline.mixing.BLOCK), key=lambda x: (x[2], x[3]))
     assert order == [x[0] for x in want]
-    lib, texts = Tokenizer.from_file(f"{q_tokens.TOKENIZERS}/word_bpe_49k.json"), {x[0]: x[1] for x in seen[3]}
+    lib, texts = Tokenizer.from_file(q_tokens.PATH), {x[0]: x[1] for x in seen[3]}
     assert all(list(x.ids) == lib.encode(texts[x.doc_id], add_special_tokens=False).ids and x.n_tokens == len(x.ids) for x in last)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(last)
