@@ -60,8 +60,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         docs = docs.select("*", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("mix_part"), F.col("_metadata.row_index").alias("mix_row"))
     except AnalysisException:
         docs = docs.select("*", F.lit(None).cast("int").alias("mix_part"), F.lit(None).cast("long").alias("mix_row"))
-    path = f"{q_tokens.TOKENIZERS}/word_bpe_49k.json"
-    ids = bpe.tokens_of(docs.select("doc_id", "source", "mix_part", "mix_row", "text"), path, digest="decoded_sha256")
+    ids = bpe.tokens_of(docs.select("doc_id", "source", "mix_part", "mix_row", "text"), q_tokens.PATH, digest="decoded_sha256")
     return ids.select("doc_id", "source", "mix_part", "mix_row", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
