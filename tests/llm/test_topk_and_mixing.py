@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+from fractions import Fraction
 
 import pytest
 
@@ -10,10 +11,10 @@ VEC = "vec_id long, embedding array<float>, label int"
 
 
 def best(rows, k=5):
-    ok = [(i, [math.floor(256 * x) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(256 * Fraction(x)) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = {}
     for i, q in {(i, tuple(v)) for i, v in ok if i % 50 == 0}:
-        s = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in ok if j != i and len(v) == len(q))[:k]
+        s = sorted((-max(-topk.MOST, min(topk.MOST, sum(a * b for a, b in zip(q, v, strict=True)))), j) for j, v in ok if j != i and len(v) == len(q))[:k]
         out[i] = [(r + 1, j, -x) for r, (x, j) in enumerate(s)]
     return {i: v for i, v in out.items() if v}
 
@@ -38,6 +39,23 @@ def test_ties_nulls_and_lengths(spark):
     check(spark, rows)
 
 
+def test_large_components_count(spark):
+    """Finite components of any size: exact up to 64 bits, the nearest 64-bit number beyond."""
+    rows = [(0, [1.0, 2.0], 0), (1, [2.0**51, 1.0], 0), (2, [1.0, 1.0], 0), (3, [-(2.0**60), 5.0], 0), (4, [2.0**45, -(2.0**40)], 0), (5, [3.0e38, 1.0], 0), (6, [-3.0e38, 3.0e38], 0), (7, [2.0**45, 0.0], 0)]
+    rows += [(50, [2.0**41, -(2.0**41)], 0), (100, [1e38, 1e38], 0), (150, [-1.5, 0.25], 0), (8, [1.0, 1.0], 1)]
+    check(spark, rows)
+    df = spark.createDataFrame([(0, [1.7e308, 0.5]), (1, [1.0, 1.0]), (2, [-1.0, 1e-320])], "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id = 0")).collect()]
+    assert sorted(got) == [(1, 1, topk.MOST), (2, 2, -topk.MOST)]
+
+
+def test_chunks_of_queries(spark, monkeypatch):
+    r = random.Random(4)
+    monkeypatch.setattr(topk, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 3)
+    check(spark, [(i * 25, [r.uniform(-1, 1) for _ in range(r.choice([3, 4]))], 0) for i in range(60)])
+
+
 def test_nothing_to_find(spark):
     df = spark.createDataFrame([], VEC)
     assert topk.top_k(df, df).count() == 0
