@@ -145,6 +145,67 @@ def test_shards(spark, docs_schema):
     assert [(g.size, g.slot) for g in one] == [(1, 0)]
 
 
+def tree(points, shards):
+    """By row number its shard, by sorting: points are (number, size, h, k2, r, coordinates)."""
+    out, target, torn = {}, sum(p[1] for p in points) / shards, 0
+
+    def cut(here, first, n):
+        nonlocal torn
+        if n == 1 or not here:
+            out.update((p[0], first) for p in here)
+            return
+        widths = [max(p[5][d] for p in here) - min(p[5][d] for p in here) for d in range(3)]
+        d = widths.index(max(widths))
+        unsigned = lambda x: x % 2**64
+        groups = {}
+        for p in here:
+            groups.setdefault((p[5][d], unsigned(p[2]), unsigned(p[3])), []).append(p)
+        goal, below, above = sum(p[1] for p in here) * (n // 2) / n, [], []
+        for _, rows in sorted(groups.items()):
+            w = sum(p[1] for p in rows)
+            if goal <= 0 or goal >= w:
+                (below if goal > 0 else above).extend(rows)
+            elif min(goal, w - goal) <= sharding.SLACK * target:
+                (below if goal > w - goal else above).extend(rows)
+            else:
+                torn += len(rows) > 1
+                for p in sorted(rows, key=lambda p: unsigned(p[4])):
+                    (below if 2 * goal > p[1] else above).append(p)
+                    goal -= p[1]
+                w = 0
+                goal = 0
+            goal -= w
+        cut(below, first, n // 2)
+        cut(above, first + n // 2, n - n // 2)
+
+    cut(points, 0, shards)
+    return out, torn
+
+
+def test_shards_equal_a_tree_by_sorting(spark, docs_schema, monkeypatch):
+    r = np.random.default_rng(5)
+    texts = ["copy of a text " * 4] * 900 + ["other " * 9] * 60 + ["t%d " % (k % 400) * int(r.integers(1, 60)) for k in range(600)] + [None, ""]
+    rows = [(k if k % 50 else 7, t, ["en", "de", "fr"][k % 3], f"s{min(k % 9, 4)}", 1) for k, t in enumerate(texts)]
+    seen = {}
+    plain = sharding.assigned
+
+    def watched(points, shards, store):
+        seen["points"] = [(x.n, x["size"], x.h, x.k2, x.r, (x.d_size, x.d_source, x.d_lang)) for x in points.collect()]
+        out = plain(points, shards, store)
+        seen["shard"] = {x.n: x.shard for x in out.collect()}
+        return out
+
+    monkeypatch.setattr(sharding, "assigned", watched)
+    docs = spark.createDataFrame(rows, docs_schema)
+    for shards in (16, 5, 1):
+        got = sharding.sharded(docs, shards).collect()
+        want, torn = tree(seen["points"], shards)
+        assert seen["shard"] == want and len(got) == len(rows)
+        assert torn <= shards - 1 and (shards == 1 or torn >= 1)
+    total = sum(len((t or "").encode()) + 1 for t in texts)
+    assert {g.shard for g in sharding.sharded(docs, target_bytes=total // 7 + 1).collect()} == set(range(7))
+
+
 def test_sections_beside_one_very_long_block():
     long, short = "x" * 9 + " ", "y" * 7 + " "
     for n in (50, 500, 50_000):
