@@ -17,7 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeline.llm import _text
@@ -28,6 +29,8 @@ LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 LEAST_CONTENT = 0.5
 #: Most labelled documents that the field is fitted on, each with all its lines.
 SAMPLE_DOCS = 2000
+#: Most bytes of these documents together (half for each quality); one of more than a sixteenth takes no part in the fit.
+SAMPLE_BYTES = 32 << 20
 
 FEATURES = ("bias", "symbols", "bars", "capitals", "shouts", "digits", "word_length", "few_words", "ends_sentence", "repeats", "long_words", "duplicate")
 
@@ -196,15 +199,21 @@ def train(features: list[np.ndarray], labels: list[np.ndarray], rounds: int = 15
     return w, move
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: int = SAMPLE_DOCS) -> list[tuple[str, int]]:
-    """At most ``most`` labelled texts, half of each quality where there are enough: those whose keys' hashes are smallest."""
-    from pyspark.sql import functions as F
+def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int]]:
+    """At most ``most`` labelled texts of at most ``most_bytes`` together, half of each quality where there are enough: those whose keys' hashes are smallest.
 
-    known = labels.where("quality in (0, 1)").select(F.col(key).alias("key"), "quality").dropDuplicates(["key"]).withColumn("h", F.xxhash64("key"))
+    A key whose labels contradict each other takes no part; of texts with one key the smallest does. A text of more than
+    a sixteenth of the bytes takes no part in the fit (it is judged like any other).
+    """
+    known = labels.where("quality in (0, 1)").groupBy(F.col(key).alias("key")).agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other and key is not null")
+    known = known.select("key", "quality", F.xxhash64("key").alias("h"))
     parts = [known.where(F.col("quality") == q).orderBy("h", "key").limit(most // 2) for q in (0, 1)]
-    few = parts[0].union(parts[1]).select("key", "quality")
+    few = parts[0].union(parts[1])
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(few), "key").where("text is not null")  # at most ``most`` rows
-    return [(r["text"], r["quality"]) for r in rows.dropDuplicates(["key"]).select("text", "quality").collect()]
+    rows = rows.groupBy("h", "key", "quality").agg(F.min("text").alias("text")).withColumn("size", F.octet_length("text"))
+    w = Window.partitionBy("quality").orderBy("h", "key")  # at most ``most`` rows
+    room = rows.where(F.col("size") <= most_bytes // 16).withColumn("upto", F.sum("size").over(w)).where(F.col("upto") <= most_bytes // 2)
+    return [(r["text"], r["quality"]) for r in room.select("text", "quality").collect()]
 
 
 def fit(texts: list[tuple[str, int]]) -> Weights:

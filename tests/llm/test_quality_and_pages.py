@@ -51,11 +51,44 @@ def test_field_and_classifier_on_held_out_rows(spark, docs_schema):
     assert {x.doc_id: x.kept for x in quality_rules.judged(docs, weights).collect()} == {i: i % 3 > 0 for i in range(300)}
     out = quality_classifier.classified(spark, docs, labels)
     assert {x.doc_id: x.drawn for x in out.collect()} == {i: i % 3 > 0 for i in range(300)}
-    few = quality_classifier.drawn(quality_classifier.weighed(docs, quality_classifier.fit(docs, labels)), "doc_id", k=20).collect()
-    top = sorted((-x.gumbel, x.doc_id) for x in few if x.accepted)[:20]
+    rows = quality_classifier.noisy(quality_classifier.weighed(docs, quality_classifier.fit(docs, labels)), "doc_id")
+    few = rows.withColumn("drawn", quality_classifier.draw(rows, "doc_id", k=20).takes("doc_id")).collect()
+    top = sorted((-x.gumbel, x.doc_id) for x in few if x.n_grams)[:20]
     assert {i for _, i in top} == {x.doc_id for x in few if x.drawn}
 
 
+def test_the_draw_decides(spark):
+    """By sorting all sums: ties by key, rows of one key and value together; weights near 0 are drawn by their noise."""
+    r = np.random.default_rng(12)
+    w = np.concatenate([r.normal(0, 1, 300), r.normal(40, 5, 100), r.normal(-40, 5, 100), [3.0] * 40])
+    rows = [(int(i) if i % 97 else None, float(x), int(i % 50 != 3)) for i, x in enumerate(w)] + [(5, float(w[5]), 1)] * 30
+    df = quality_classifier.noisy(spark.createDataFrame(rows, "doc_id long, log_weight double, n_grams long"), "doc_id").persist()
+    tied = spark.createDataFrame([(i // 2 if i else None, 1.0, 1, 2.0) for i in range(40)] + [(99, 0.0, 1, 2.0 + 2**-50), (98, 0.0, 1, -1e9), (97, -1.0, 1, 1e9)], "doc_id long, log_weight double, n_grams long, gumbel double")
+    for frame in (df, tied):
+        every = sorted((x for x in frame.collect() if x.n_grams), key=lambda x: (-x.gumbel, x.doc_id is not None, x.doc_id or 0))
+        for k in (None, 0, 1, 3, 17, 200, 10**6):
+            n = sum(x.log_weight >= 0 for x in every) if k is None else k
+            want = Counter(map(tuple, every[:n]))
+            if 0 < n < len(every):  # the last one's equals come with it
+                want = Counter(tuple(x) for x in every if (-x.gumbel, x.doc_id is not None, x.doc_id or 0) <= (-every[n - 1].gumbel, every[n - 1].doc_id is not None, every[n - 1].doc_id or 0))
+            got = Counter(map(tuple, frame.where(quality_classifier.draw(frame, "doc_id", k).takes("doc_id")).collect()))
+            assert got == want, k
+    kept = df.where(quality_classifier.draw(df, "doc_id").takes("doc_id")).collect()
+    assert any(x.log_weight < 0 for x in kept) and min(x.log_weight for x in kept) > -20
+    assert {x.doc_id for x in df.where("log_weight > 20 and n_grams > 0").collect()} <= {x.doc_id for x in kept}
+
+
+def test_samples_do_not_depend_on_order(spark, docs_schema):
+    rows = [(k // 2, f"text {k} " * 3, "en", "s", 0) for k in range(60)] + [(40, "x" * 500, "en", "s", 0)]
+    labels = [(k, k % 2, 0) for k in range(30)] + [(3, 0, 0), (3, 1, 0), (40, 1, 0), (None, 1, 0)]
+    a, b = [(spark.createDataFrame(x, docs_schema), spark.createDataFrame(y, "doc_id long, quality int, toxic int")) for x, y in ((rows, labels), (rows[::-1], labels[::-1]))]
+    small = [sorted(quality_rules.sample(*x, most=20, most_bytes=1600)) for x in (a, b)]
+    assert small[0] == small[1] and len(small[0]) in (19, 20)
+    assert all(t != "x" * 500 and not t.startswith("text 6 ") for t, _ in small[0])
+    known = [sorted(map(tuple, quality_classifier.sample(*x, "doc_id", "text", 10).collect())) for x in (a, b)]
+    assert known[0] == known[1] and len(known[0]) == 20
+
+
 def test_classifier_counts_equal_brute_force():
     texts = ["One two. two", "", None, "a  a|a ÜX 12!!", "z" * 50]
     raw, off = quality_classifier._text.column_bytes(pa.array(texts, pa.string()))
