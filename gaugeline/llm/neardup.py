@@ -7,11 +7,17 @@
 3. Nodes that share a band hash are candidates. A bucket is a star around its
    smallest node, so it gives as many links as members, and the candidates'
    components come from large-star and small-star. Linked nodes share a component.
-4. Each component's texts meet in a unit of bounded size: a whole component, or two
-   blocks of a larger one; every two members of a component meet in some unit. There,
+4. A component's texts meet in units of bounded size. A component that fits into one is
+   one unit. In a larger one every node first meets its centre: the star in which it shares the most
+   bands. The confirmed ones make clusters. Then blocks of nodes meet in pairs, but for two blocks of
+   one cluster, whose nodes are joined already: nodes of a large cluster have blocks of their own, the others
+   share blocks. So every two members of a component that are not joined yet meet in some unit. There,
    signatures are compared, then whole sets. Nodes already joined in the unit need
    no further test, so a unit gives fewer links than it has members.
-5. The confirmed links' components are the result.
+5. The confirmed links' components are the result, with a link from each id to the nodes of all its texts.
+
+A group of near copies of one text thus takes work in proportion to its size. What grows with the square is
+a component of different texts that share bands without being similar to their centres.
 
 A pair with similarity s shares no band with probability (1 - s**ROWS)**BANDS: 3e-7
 at 0.85. Signatures reject a pair only if the estimate is more than five standard
@@ -20,7 +26,7 @@ deviations below the threshold.
 Defined results. Words are the runs of characters other than ASCII white space,
 A-Z in lower case. A text with fewer words than a shingle is one shingle; a null,
 empty or blank text has no shingle and is linked with nothing. Rows with the same id
-are one node: what any of their texts is linked to, the id is linked to. A row
+are one node: what any of their texts is linked to, the id is linked to, and all its rows have one component. A row
 without id is linked with nothing, has no component, and is kept.
 """
 
@@ -28,10 +34,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -46,6 +53,8 @@ WIDTH, SIMILAR = 5, (100, 85)
 BANDS, ROWS = 32, 6
 #: A unit holds one component of at most these nodes and bytes, or two blocks of about half of each.
 UNIT_NODES, UNIT_BYTES = 512, 4 << 20
+#: The side of a unit's centre.
+CENTRE = -2
 
 
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,9 +131,11 @@ def confirmed(ids: list, sides: list[int], sets: list[np.ndarray], similar: tupl
     """Links between the members of a unit that join all that their sets join.
 
     sides: members on the same side of a unit of two blocks meet elsewhere; a unit
-    of one block has all on side -1.
+    of one block has all on side -1; those on the side CENTRE meet all others, and nobody else meets.
     """
     n, out = len(ids), []
+    if n < 2:
+        return out
     joined = _Joined(n)
     num, den = similar
     sizes = np.array([len(s) for s in sets])
@@ -148,6 +159,13 @@ def confirmed(ids: list, sides: list[int], sets: list[np.ndarray], similar: tupl
         if sides[0] != sides[1] or sides[0] < 0:
             test(0, 1)
         return out
+    if CENTRE in sides:
+        centres = [k for k in range(n) if sides[k] == CENTRE]
+        for j in range(n):
+            if sides[j] != CENTRE:
+                for i in centres:
+                    test(i, j)
+        return out
     sig = np.stack([minima(s, *funcs) for s in sets])
     t, k = den / num, sig.shape[1]
     least = k * (t - 5 * (t * (1 - t) / k) ** 0.5)
@@ -203,6 +221,46 @@ def verified(units: DataFrame, width: int, similar: tuple[int, int], hashes: int
     return units.mapInArrow(run, schema)
 
 
+def _blocks(unit_nodes: int, unit_bytes: int) -> Column:
+    """Column: blocks of at most about half a unit for n nodes of ``bytes``."""
+    return F.ceil(F.greatest(2 * F.col("n") / unit_nodes, 2 * F.col("bytes") / unit_bytes)).cast("int")
+
+
+def _with_texts(units: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (unit, lo, hi, side, node) with the texts of their nodes, those of a unit together."""
+    units = units.join(texts, units.node == texts.id).select("unit", "lo", "hi", "side", "id", "text")
+    return units.repartition("unit", "lo", "hi").sortWithinPartitions("unit", "lo", "hi")
+
+
+def _centred(big: DataFrame, stars: DataFrame, unit_nodes: int, unit_bytes: int) -> DataFrame:
+    """Units in which each node of large components meets the centre of most of its bands; a centre comes to each block of its nodes."""
+    own = stars.join(big.select(F.col("node").alias("a"), "n_bytes"), "a").groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "b"))["b"].alias("unit"), F.first("n_bytes").alias("n_bytes"))
+    size = own.groupBy("unit").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
+    size = size.select("unit", _blocks(unit_nodes, unit_bytes).alias("blocks"))
+    placed = own.join(size, "unit").select("unit", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("lo"), F.col("a").alias("node"))
+    centres = size.select("unit", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("lo"), F.col("unit").alias("node"))
+    return placed.select("unit", "lo", F.col("lo").alias("hi"), F.lit(0).alias("side"), "node").union(centres.select("unit", "lo", F.col("lo").alias("hi"), F.lit(CENTRE), "node"))
+
+
+def _paired(big: DataFrame, clusters: DataFrame, unit_nodes: int, unit_bytes: int) -> DataFrame:
+    """Units of two blocks in which all nodes of a large component meet, but for those of one large cluster; clusters: (node, component) of the joined nodes."""
+    label = clusters.select("node", F.col("component").alias("cluster"))
+    rows = big.join(label, "node", "left").select("component", "node", "n_bytes", F.coalesce("cluster", "node").alias("cluster"))
+    size = rows.groupBy("component", "cluster").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
+    # a large cluster has blocks of its own; the small ones, as the cluster null, share theirs
+    large = (2 * F.col("n") > unit_nodes) | (2 * F.col("bytes") > unit_bytes)
+    size = size.withColumn("of", F.when(large, F.col("cluster")))
+    groups = size.groupBy("component", "of").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select("component", "of", _blocks(unit_nodes, unit_bytes).alias("blocks"))
+    w = Window.partitionBy("component")  # a row for each large cluster: a 256th of the nodes at most, or of 2 MB
+    groups = groups.select("component", "of", "blocks", (F.sum("blocks").over(w.orderBy("of")) - F.col("blocks")).cast("int").alias("start"), F.sum("blocks").over(w).cast("int").alias("every"))
+    rows = rows.join(size.select("component", "cluster", "of"), ["component", "cluster"])
+    rows = rows.alias("r").join(groups.alias("g"), (F.col("r.component") == F.col("g.component")) & F.col("r.of").eqNullSafe(F.col("g.of")))
+    block = F.col("start") + F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    own = F.col("of").isNotNull() & F.col("other").between(F.col("start"), F.col("start") + F.col("blocks") - 1)
+    rows = rows.select(F.col("r.component").alias("unit"), "node", F.col("g.of").alias("of"), "start", "blocks", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("every") - 1)).alias("other")).where(~own)
+    return rows.select("unit", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).alias("side"), "node")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, similar: tuple[int, int] = SIMILAR, bands: int = BANDS, rows: int = ROWS, unit_nodes: int = UNIT_NODES, unit_bytes: int = UNIT_BYTES) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of docs; see the module's text for each case."""
     spark = docs.sparkSession
@@ -214,31 +272,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     n2 = nodes.select(F.col("rep").alias("id"), "k1", "k2")
     banded = able.join(n2, ["id", "k1", "k2"], "left_semi").select("id", F.explode("bands").alias("band"))
     centres = banded.groupBy("band").agg(F.min("id").alias("c"), F.max("id").alias("d")).where("c < d").select("band", "c")
-    stars = banded.join(centres, "band").where("id <> c").select(F.col("id").alias("a"), F.col("c").alias("b"))
+    stars = banded.join(centres, "band").where("id <> c").groupBy(F.col("id").alias("a"), F.col("c").alias("b")).agg(F.count("*").alias("n"))
+    stars = store.keep(stars)
     near = store.keep(components(stars, store))
 
-    # size of each candidate component, and the number of blocks of those beyond a unit
-    ids = able.groupBy("id").agg(F.max("n_bytes").alias("n_bytes"))
-    size = near.join(ids, near.node == ids.id).groupBy("component").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
-    size = size.select("component", F.when((F.col("n") <= unit_nodes) & (F.col("bytes") <= unit_bytes), 1).otherwise(F.ceil(F.greatest(2 * F.col("n") / unit_nodes, 2 * F.col("bytes") / unit_bytes))).cast("int").alias("blocks"))
-    placed = near.join(size, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = placed.select("component", "node", "block", "blocks", other).select(
-        F.col("component").alias("unit"),
-        F.least("block", "other").alias("lo"),
-        F.greatest("block", "other").alias("hi"),
-        F.when((F.col("blocks") == 1) | (F.col("block") == F.col("other")), -1).otherwise(F.col("block")).alias("side"),
-        "node",
-    )
-    # a unit of one block, met from itself, holds the block once; in a unit of two, sides differ
+    # size of each candidate component
+    ids = sig.where("id is not null").groupBy("id").agg(F.max("n_bytes").alias("n_bytes"), F.min(F.struct("k1", "k2")).alias("k"), F.max(F.struct("k1", "k2")).alias("other"))
+    members = near.join(ids.select("id", "n_bytes"), near.node == ids.id).select("component", "node", "n_bytes")
+    size = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
+    size = store.keep(size.select("component", ((F.col("n") <= unit_nodes) & (F.col("bytes") <= unit_bytes)).alias("fits")))
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col(key).isNotNull())
-    units = placed.join(texts, placed.node == texts.id).select("unit", "lo", "hi", "side", "id", "text")
-    units = units.repartition("unit", "lo", "hi").sortWithinPartitions("unit", "lo", "hi")
-    links = components(verified(units, width, similar, bands * rows), store)
+    small = near.join(size.where("fits"), "component").select(F.col("component").alias("unit"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(-1).alias("side"), "node")
+    links = []
+    if not size.where("not fits").isEmpty():
+        big = store.keep(members.join(size.where("not fits"), "component").select("component", "node", "n_bytes"))
+        first = store.keep(verified(_with_texts(_centred(big, stars, unit_nodes, unit_bytes), texts), width, similar, bands * rows))
+        links.append(first)
+        small = small.union(_paired(big, components(first, store), unit_nodes, unit_bytes))
+    links.append(verified(_with_texts(small, texts), width, similar, bands * rows))
+    # an id with several texts is linked with each one's node
+    several = able.join(ids.where("k <> other").select("id"), "id", "left_semi").select("id", "k1", "k2")
+    links.append(several.join(nodes, ["k1", "k2"]).select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    links = components(reduce(DataFrame.union, links), store)
 
     label = links.select(F.col("node").alias("rep"), F.col("component"))
     named = nodes.join(label, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     plain = sig.select("id", "n_shingles", "k1", "k2")
-    out = plain.join(named, ["k1", "k2"], "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).alias("component"))
+    full = plain.where("n_shingles > 0").join(named, ["k1", "k2"], "left").select("id", "n_shingles", "component")
+    empty = plain.where("n_shingles = 0").join(label.withColumnRenamed("rep", "id"), "id", "left").select("id", "n_shingles", "component")
+    out = full.union(empty)
     out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")))
     return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -68,6 +68,32 @@ def test_equals_brute_force(spark, docs_schema):
     check(spark, varied(1, 400, 25), docs_schema)
 
 
+def test_an_id_with_several_texts_is_one_node(spark, docs_schema):
+    r = random.Random(3)
+    a, b, c, d = (" ".join(r.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(30)) for _ in range(4))
+    check(spark, [(3, a), (5, a), (5, b), (9, b), (11, c)], docs_schema)
+    check(spark, [(9, a), (7, a), (7, b), (8, b), (8, c), (2, c), (2, ""), (4, d), (None, d), (6, d + " more"), (6, None)], docs_schema)
+    rows = varied(5, 120, 30)
+    check(spark, rows + [(i, t) for (i, _), (_, t) in zip(r.sample(rows, 40), r.sample(rows, 40), strict=True)], docs_schema, unit_nodes=6)
+
+
+def test_clusters_of_a_large_component_meet(spark, docs_schema):
+    """Two groups around their own centres, and texts between them that are similar to none of the centres."""
+    r = random.Random(6)
+    vocab = [f"w{k}" for k in range(4000)]
+    base = [r.choice(vocab) for _ in range(160)]
+    far = base[:125] + [r.choice(vocab) for _ in range(35)]
+    rows = []
+    for i in range(160):
+        w = (base if i % 2 else far).copy()
+        for _ in range(i % 4):
+            w[r.randrange(160)] = r.choice(vocab)
+        rows.append((i, " ".join(w)))
+    rows += [(200 + k, " ".join(base[: 125 + 2 * k] + far[125 + 2 * k :])) for k in range(18)]
+    for unit in (4, 12):
+        check(spark, rows, docs_schema, unit_nodes=unit)
+
+
 def test_blocks_of_a_large_component_lose_no_link(spark, docs_schema):
     """Units of eight nodes: every component of more is met in pairs of blocks."""
     check(spark, varied(2, 250, 3), docs_schema, unit_nodes=8)
