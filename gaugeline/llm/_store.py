@@ -1,7 +1,13 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share.
+
+Results that are not yet read stand on them, so they stay until ``sweep`` is called or the driver's
+process ends, also where a run has failed.
+"""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -19,12 +25,33 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_stores: list[tuple[SparkSession, str]] = []
+
+
+def sweep() -> None:
+    """Removes every table that this process has kept; results that stand on them can no longer be read."""
+    while _stores:
+        _delete(*_stores.pop())
+
+
+@atexit.register
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the JVM can be gone
+        sweep()
+
+
 class Store:
     """Tables written once and read again; each cuts lineage and outlives any executor."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.dir = spark, f"{shared_dir(spark)}/gaugeline-{what}-{uuid.uuid4().hex}"
         self.n = 0
+        _stores.append((spark, self.dir))
 
     def keep(self, df: DataFrame) -> DataFrame:
         """df as written and read again."""
@@ -38,6 +65,4 @@ class Store:
     def drop(self, df: DataFrame) -> None:
         """Removes a kept table that nothing will read any more."""
         if at := getattr(df, "_kept_at", None):
-            jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-            path = jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, at)

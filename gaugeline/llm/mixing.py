@@ -12,9 +12,10 @@ leaves its slots to the others in proportion. Nothing is dropped or repeated.
 
 Rounds with equal numbers of blocks have equal patterns, and there are at most two
 more patterns than twice the sources, so the schedule is worked out once for each
-pattern, in one row whose size depends on the weights alone. Ranks within a source
+pattern, each in a task of its own, in one row whose size depends on the weights alone, and is written. Ranks within a source
 come from counts of 4,096 hash buckets for each source and a row number within a
-bucket, so a source with most of the rows is spread over 4,096 windows.
+bucket, so a source with most of the rows is spread over 4,096 windows, and the counts join the rows
+where the windows have already brought them together.
 
 Defined results. Sources that have no weight, and null sources, share the weight of
 ``other`` as one source. Rows with equal keys keep their number: each has a position of
@@ -29,6 +30,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gaugeline.llm._store import Store
+
 #: Documents in a block.
 BLOCK = 64
 #: Hash buckets of a source: three hexadecimal digits.
@@ -92,9 +95,11 @@ def schedule(counts: DataFrame, weights: dict[str, int], block: int) -> DataFram
         F.aggregate("pools", F.lit(0).cast("bigint"), lambda a, p: a + F.least(p["blocks"], F.col("first") * p["w"])).alias("base"),
     )
     part = part.withColumn("length", F.aggregate("round", F.lit(0).cast("bigint"), lambda a, p: a + p["m"])).where("length > 0")
-    part = part.withColumn("order", _pattern(F.col("round"), F.col("length")))
+    # each pattern is worked out once, in a task of its own, and written
+    part = part.repartition(min(2 * len(weights) + 2, 64), "first").withColumn("order", _pattern(F.col("round"), F.col("length")))
+    part = Store(spark, "mixing").keep(part)
     rows = part.select("first", "last", "base", "length", "order", F.posexplode("round").alias("i", "p")).where("p.m > 0")
-    slots = F.filter(F.transform("order", lambda x, t: F.when(x == F.col("i"), t)), lambda t: t.isNotNull())
+    slots = F.filter(F.transform("order", lambda x, t: F.when(x == F.col("i"), t.cast("int"))), lambda t: t.isNotNull())
     return rows.select(F.col("p.pool").alias("pool"), "first", "last", "base", "length", F.col("p.m").alias("m"), slots.alias("slots"))
 
 
@@ -133,8 +138,9 @@ def mixed(docs: DataFrame, weights: dict[str, int], other: int = 1, key: str = "
 
     w = Window.partitionBy("__pool", "__bucket").orderBy("__hash", F.col(key), *[F.col(c) for c in _sortable(docs) if c != key])
     ranked = named.withColumn("__row", F.row_number().over(w))
-    ranked = ranked.join(F.broadcast(starts.drop("n")), ["__pool", "__bucket"]).withColumn("__rank", F.col("__before") + F.col("__row") - 1)
+    ranked = ranked.join(starts.drop("n"), ["__pool", "__bucket"]).withColumn("__rank", F.col("__before") + F.col("__row") - 1)
     ranked = ranked.withColumn("block", F.floor(F.col("__rank") / block)).withColumn("place", (F.col("__rank") % block).cast("int"))
+    # bounded by the limits on weights: two more patterns than twice MOST_SOURCES, MOST_WEIGHT slots of 4 bytes in each, so 34 MB
     ranked = ranked.join(F.broadcast(plan), "__pool")
     size = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(v).cast("bigint"))])[F.col("__pool")]
     ranked = ranked.withColumn("__q", F.floor(F.col("block") / size)).withColumn("__j", F.col("block") % size)
