@@ -49,3 +49,28 @@ def test_stages_against_brute_force(spark, docs_schema, tmp_path):
     lib, texts = Tokenizer.from_file(q_tokens.PATH), {x[0]: x[1] for x in seen[3]}
     assert all(list(x.ids) == lib.encode(texts[x.doc_id], add_special_tokens=False).ids and x.n_tokens == len(x.ids) for x in last)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(last)
+
+
+def test_clashing_columns_and_empty_tables(spark, docs_schema, tmp_path):
+    """Columns named like the operators' own hold what they held after every stage."""
+    names = ["slot", "Place", "pool", "block", "spans", "gumbel", "drawn", "log_weight", "n_grams", "__row", "kept", "component_id", "mix_part", "ids", "n"]
+    words = [f"word{k}" for k in range(200)]
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(words) for _ in range(30)) + (" token = 24be64439e3e49cf46b2" if i == 2 else ""), "en", f"src{i % 3}", 1) for i in range(12)] + [(3, None, None, None, None), (3, "another text here", None, None, None), (None, "no id at all", "en", "src1", 3)]
+    extra = [tuple(100 * k + i for k in range(len(names))) for i in range(len(rows))]
+    df = spark.createDataFrame([a + b for a, b in zip(rows, extra, strict=True)], docs_schema + "".join(f", {c} long" for c in names))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    of = {(a[0], b[0]): b for a, b in zip(rows, extra, strict=True)}
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        df = stage(spark, df, str(tmp_path))
+        df.write.parquet(str(tmp_path / f"s{k}"))
+        df = spark.read.parquet(str(tmp_path / f"s{k}"))
+        got = df.collect()
+        assert df.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+        assert len(got) >= 13 and all(tuple(x)[5:] == of[x.doc_id, x.slot] for x in got)
+    last = corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).collect()
+    assert len(last) == 14 - 1 and all(x.mix_part < 1000 for x in last)
+    empty = spark.createDataFrame([], docs_schema)
+    for _, stage in corpus_pipeline.STAGES:
+        empty_out = stage(spark, empty, str(tmp_path))
+        assert empty_out.count() == 0
