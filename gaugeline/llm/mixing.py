@@ -133,6 +133,7 @@ def mixed(docs: DataFrame, weights: dict[str, int], other: int = 1, key: str = "
     n = named.groupBy("__pool", "__bucket").agg(F.count("*").alias("n"))
     starts = n.groupBy("__pool").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("__bucket", "n"))).alias("buckets"))
     starts = starts.select("__pool", "n", F.explode(_running("buckets")).alias("b")).select("__pool", "n", F.col("b.bucket").alias("__bucket"), F.col("b.before").alias("__before"))
+    starts = Store(docs.sparkSession, "mixing").keep(starts)
     plan = schedule(starts.groupBy(F.col("__pool").alias("pool")).agg(F.max("n").alias("n")), weights, block)
     plan = plan.select(F.col("pool").alias("__pool"), F.struct("first", "last", "base", "length", "m", "slots").alias("r")).groupBy("__pool").agg(F.collect_list("r").alias("__rounds"))
 
