@@ -281,7 +281,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     members = near.join(ids.select("id", "n_bytes"), near.node == ids.id).select("component", "node", "n_bytes")
     size = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
     size = store.keep(size.select("component", ((F.col("n") <= unit_nodes) & (F.col("bytes") <= unit_bytes)).alias("fits")))
+    # the candidates' texts, shuffled once from among all
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col(key).isNotNull())
+    texts = store.keep(texts.join(near.select(F.col("node").alias("id")), "id", "left_semi"))
     small = near.join(size.where("fits"), "component").select(F.col("component").alias("unit"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(-1).alias("side"), "node")
     links = []
     if not size.where("not fits").isEmpty():
