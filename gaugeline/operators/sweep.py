@@ -13,8 +13,8 @@ QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 def sweep_thresholds(samples: DataFrame, by: list[str], least: int = 5, digits: int = 1) -> DataFrame:
     """(by..., threshold, n, min_tenengrad, p50_drift, p95_drift) for each distinct rounded sharpness.
 
-    A row counts for a threshold if its unrounded sharpness is no smaller. Thresholds are a few
-    hundred rounded values, so they are the broadcast side.
+    A row counts for a threshold if its unrounded sharpness is no smaller, so each sample meets every smaller threshold of its group:
+    the work is that of samples times thresholds, which the rounding bounds.
     """
     cuts = samples.select(*by, F.round("laplacian_var", digits).alias("threshold")).distinct()
     a, b = samples.alias("a"), cuts.alias("b")

@@ -29,9 +29,7 @@ def _z(s: SparkSession, d: str) -> DataFrame:
 
 def _bands(s: SparkSession, d: str) -> DataFrame:
     z = _z(s, d)
-    roi = policy.combined(z, ["subject_id"], st.directions(s), st.METHODS)
-    raw = z.groupBy("subject_id", "concern", "roi").agg(F.map_from_entries(F.collect_list(F.struct("measurement", "value"))).alias("raw"))
-    rows = roi.join(raw, ["subject_id", "concern", "roi"])
+    rows = policy.combined(z, ["subject_id"], st.directions(s), st.METHODS, raw="value")
     return rows.select("subject_id", "concern", "roi", "z", vocab.to_band(F.col("z")).alias("severity"), policy.strong(F.col("raw"), st.FLOORS, F.col("concern")).alias("strong"))
 
 

@@ -70,8 +70,14 @@ def test_manifest_annotations_and_payload(spark, tmp_path):
     with pytest.raises(ValueError):
         corpus.annotations(spark, str(tmp_path / "l.csv"))
     doc = {"concerns": {"redness": {"severity": "mild", "roi_results": [{"roi": "nose", "raw": {"x": 1.5}}, {"roi": "chin", "raw": {}}]}}}
-    long = corpus.records(spark.createDataFrame([("i", json.dumps(doc)), ("j", "{"), ("k", None)], "image string, payload string"))
-    assert [tuple(r) for r in long.collect()] == [("i", "redness", "mild", "nose", "x", 1.5)]
+    doc |= {"schema_version": "1", "qc": {"passed": False, "failures": ["blur"], "metrics": {"luma": 9.0}}}
+    payloads = spark.createDataFrame([("i", json.dumps(doc)), ("j", "{"), ("k", None), ("l", json.dumps({"qc": {"passed": True}, "concerns": {"texture": {"severity": "unmeasurable"}}}))], "image string, payload string")
+    got = sorted(map(tuple, corpus.records(payloads).collect()), key=str)
+    none = (None,) * 5
+    assert got == sorted([("i", "redness", "mild", "nose", "x", 1.5), ("i", "redness", "mild", "chin", None, None), ("j", *none), ("k", *none), ("l", "texture", "unmeasurable", None, None, None)], key=str)
+    assert {(r.image, r.concern, tuple(r.rois)) for r in corpus.measured_regions(corpus.records(payloads)).collect()} == {("i", "redness", ("nose",)), ("l", "texture", ())}
+    caps = {r.image: r for r in corpus.captured(payloads).collect()}
+    assert (caps["i"].qc_passed, caps["i"].qc_failures, caps["i"].qc_metrics) == (False, ["blur"], {"luma": 9.0}) and caps["l"].qc_passed and caps["j"].qc_passed is None
     assert corpus.merged({"a": {"b": 1, "c": 2}, "d": 3}, {"a": {"c": 5}, "e": 6}) == {"a": {"b": 1, "c": 5}, "d": 3, "e": 6}
     assert corpus.profile({"default": {"x": 1}, "p": {"x": 2}}, "unknown") == {"x": 1}
     (tmp_path / "i").mkdir()
