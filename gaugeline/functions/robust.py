@@ -14,15 +14,71 @@ def fraction(p: Column) -> Column:
 
 
 def percentile(x: Column | str, q: float) -> Column:
-    """Linear interpolation between the neighbours; null for no rows."""
+    """Linear interpolation between the neighbours; null for no rows. Its state holds a group's distinct values: for groups of bounded size, others take `quantiles`."""
     return F.percentile(x, F.lit(q))
 
 
+#: Half a bracket's width as a share of its group, the sketch's accuracy (its error is at most 1 / ACCURACY of the group), and the size up to
+#: which a group is its own bracket: beyond it, a bracket of 2 * WIDTH is sure to hold the ranks that it is for.
+WIDTH, ACCURACY, WHOLE = 3e-4, 10_000, 20_000
+
+
+def _with(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """left with right's other columns, null keys included."""
+    other = right.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], *[c for c in right.columns if c not in by])
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    return left.join(other, same, how).drop(*[f"__k{i}" for i in range(len(by))])
+
+
+def _cells(df: DataFrame, by: list[str], x: str, qs: list[float]) -> DataFrame:
+    """(by..., __n, __one, __at, __c, __s, __upto): a group's values in order, as cells of one value (__one) near the quantiles and of all values between elsewhere.
+
+    A sketch of bounded size brackets each quantile; what lies between brackets is counted before the shuffle, so a group's
+    sorted cells are at most its values inside brackets, however large the group.
+    """
+    v = df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("__v"))
+    ends = [min(max(q + d, 0.0), 1.0) for q in qs for d in (-WIDTH, WIDTH)]
+    found = v.groupBy(*by).agg(F.count("*").alias("__n"), F.percentile_approx("__v", ends, ACCURACY).alias("__e"))
+    rows = _with(v, found.withColumn("__e", F.when(F.col("__n") > WHOLE, F.col("__e"))), by)
+    one, gap = F.col("__e").isNull(), F.lit(0)
+    for i in range(len(qs)):
+        one = one | F.col("__v").between(F.col("__e")[2 * i], F.col("__e")[2 * i + 1])
+        gap = gap + (F.col("__v") > F.col("__e")[2 * i + 1]).cast("int")
+    keyed = rows.select(*by, "__n", "__v", one.alias("__one"), F.when(one, F.col("__v")).alias("__key"), F.when(~one, gap).alias("__gap"))
+    cells = keyed.groupBy(*by, "__n", "__one", "__key", "__gap").agg(F.max("__v").alias("__at"), F.count("*").alias("__c"), F.sum("__v").alias("__s"))
+    w = Window.partitionBy(*by).orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return cells.drop("__key", "__gap").withColumn("__upto", F.sum("__c").over(w))
+
+
+def _exactly(value: Column) -> Column:
+    """value where a cell is one value; a rank that no bracket holds stops the query, as nothing exact is known of it."""
+    return F.when(F.col("__one"), value).otherwise(F.raise_error(F.lit("a rank lies outside its bracket")).cast("double"))
+
+
+def quantiles(df: DataFrame, by: list[str], x: str, qs: dict[str, float]) -> DataFrame:
+    """(by..., n, one column for each of qs): exact quantiles of the values that are not null, interpolated between neighbours.
+
+    Two passes over df; groups without values have no row. NaN counts as the largest value.
+    """
+    n = F.col("__n")
+    cells = _cells(df, by, x, sorted(set(qs.values())))
+    at = lambda r: F.max(F.when((r >= F.col("__upto") - F.col("__c")) & (r < F.col("__upto")), _exactly(F.col("__at"))))
+    ranks = {k: (n - 1) * F.lit(float(q)) for k, q in qs.items()}
+    both = [f(p, k) for k, p in ranks.items() for f in (lambda p, k: at(F.floor(p)).alias(f"__lo_{k}"), lambda p, k: at(F.ceil(p)).alias(f"__hi_{k}"))]
+    got = cells.groupBy(*by, "__n").agg(*both)
+    lo, hi = (lambda k: F.col(f"__lo_{k}")), (lambda k: F.col(f"__hi_{k}"))
+    mixed = lambda k, p: F.when(lo(k) == hi(k), lo(k)).otherwise(lo(k) * (F.ceil(p) - p) + hi(k) * (p - F.floor(p))).alias(k)
+    return got.select(*by, n.alias("n"), *[mixed(k, p) for k, p in ranks.items()])
+
+
 def medians_and_mads(df: DataFrame, by: list[str], x: str) -> DataFrame:
-    """(by..., median, mad): mad is unscaled. Two aggregations, so a large group is one histogram, never one list."""
-    v = df.where(F.col(x).isNotNull()).select(*by, F.col(x).alias("__v"))
-    off = v.join(v.groupBy(*by).agg(F.median("__v").alias("median")), by)
-    return off.groupBy(*by).agg(F.first("median").alias("median"), F.median(F.abs(F.col("__v") - F.col("median"))).alias("mad"))
+    """(by..., median, mad): mad is unscaled. Both by bracketed selection, so no task holds a large group's values."""
+    median = quantiles(df, by, x, {"median": 0.5}).drop("n")
+    off = _with(df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("__x")), median, by)
+    away = off.select(*by, "median", F.abs(F.col("__x") - F.col("median")).alias("__off"))
+    return quantiles(away, [*by, "median"], "__off", {"mad": 0.5}).select(*by, "median", "mad")
 
 
 def scaled_mad(mad: Column) -> Column:
@@ -32,11 +88,12 @@ def scaled_mad(mad: Column) -> Column:
 
 def robust_mean(df: DataFrame, by: list[str], x: str, trim: float = 0.1) -> DataFrame:
     """(by..., n, robust_mean): the mean without floor(trim * n) values at either end; of fewer than 3 values, the mean."""
-    w = Window.partitionBy(*by)
-    ranked = df.where(F.col(x).isNotNull()).withColumns({"__r": F.row_number().over(w.orderBy(x)), "__n": F.count("*").over(w)})
-    cut = F.when(F.col("__n") < 3, 0).otherwise(F.floor(F.col("__n") * trim))
-    kept = ranked.where((F.col("__r") > cut) & (F.col("__r") <= F.col("__n") - cut))
-    return kept.groupBy(*by).agg(F.first("__n").alias("n"), F.avg(x).alias("robust_mean"))
+    n, c, upto = F.col("__n"), F.col("__c"), F.col("__upto")
+    cut = F.when(n < 3, 0).otherwise(F.floor(n * F.lit(float(trim))))
+    kept = F.greatest(F.least(upto, n - cut) - F.greatest(upto - c, cut), F.lit(0))
+    total = F.when(kept == 0, 0.0).when(kept == c, F.col("__s")).otherwise(kept * _exactly(F.col("__at")))
+    cells = _cells(df, by, x, [trim, 1.0 - trim])
+    return cells.groupBy(*by, n.alias("n")).agg((F.sum(total) / F.sum(kept)).alias("robust_mean"))
 
 
 def trimmed_mean_of(values: Column, trim: float = 0.1) -> Column:
@@ -72,10 +129,10 @@ def least_support(share: float, anchor: Column) -> Column:
 
 
 def unit_scale(df: DataFrame, by: list[str], x: str) -> DataFrame:
-    """df with ``unit``: x between its group's 1st and 99th percentile, clipped to 0..1; a flat group gives 0."""
-    ends = df.groupBy(*by).agg(percentile(x, 0.01).alias("__lo"), percentile(x, 0.99).alias("__hi"))
+    """df with ``unit``: x between its group's 1st and 99th percentile, clipped to 0..1; a flat group and a null give 0."""
+    ends = quantiles(df, by, x, {"__lo": 0.01, "__hi": 0.99}).drop("n")
     v = F.when(F.col("__hi") > F.col("__lo"), F.least(F.greatest((F.col(x) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    return df.join(ends, by).withColumn("unit", v).drop("__lo", "__hi")
+    return _with(df, ends, by, "left").withColumn("unit", v).drop("__lo", "__hi")
 
 
 def even_subsample(df: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:

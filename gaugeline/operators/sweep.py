@@ -36,7 +36,7 @@ def recommended_floor(swept: DataFrame, by: list[str], bound: float | None) -> D
 def metric_summary(rows: DataFrame, metrics: list[str]) -> DataFrame:
     """(metric, n, p05, p25, p50, p75, p95) over the rows that have the metric."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("x")).select("x.*").where("v is not null")
-    return long.groupBy("metric").agg(F.count("*").alias("n"), *[robust.percentile("v", q).alias(f"p{round(q * 100):02d}") for q in QUANTILES])
+    return robust.quantiles(long, ["metric"], "v", {f"p{round(q * 100):02d}": q for q in QUANTILES})
 
 
 def failure_tally(rows: DataFrame, failures: str, sep: str = "|") -> DataFrame:

@@ -2,6 +2,8 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +132,37 @@ def test_robust_statistics(spark):
     assert df.groupBy("g").agg(robust.fraction(F.col("v") > 3).alias("f")).where("g = 'a'").first().f == 0.5
 
 
+def test_selection_is_exact_beyond_a_bracket(spark):
+    """Groups larger than a bracket, of spread values, of ties and of one value, beside small ones and a null key, over several partitions."""
+    big = 3 * robust.WHOLE
+    rows = {
+        "spread": [((k * 7919) % 100_003) / 7 - 5000 for k in range(big)],
+        "ties": [float(k % 3) for k in range(big + 1)],
+        "mostly_one": [1.5] * big + [float(k) for k in range(100)],
+        "skewed": [float(k % 1000) ** 4 for k in range(big + 2)],
+        "small": [3.0, 1.0, 2.0, 10.0],
+        None: [4.0, 8.0],
+    }
+    flat = pd.DataFrame([(g, v) for g, vs in rows.items() for v in vs], columns=["g", "v"]).sample(frac=1, random_state=5)
+    df = spark.createDataFrame(flat, "g string, v double").union(spark.createDataFrame([("none", None)], "g string, v double")).repartition(9)
+    qs = {"a": 0.0, "b": 0.05, "c": 0.25, "d": 0.5, "e": 0.95, "f": 1.0}
+    got = {r.g: r for r in robust.quantiles(df, ["g"], "v", qs).collect()}
+    assert set(got) == set(rows)
+    mads = {r.g: (r["median"], r.mad) for r in robust.medians_and_mads(df, ["g"], "v").collect()}
+    means = {r.g: (r.n, r.robust_mean) for r in robust.robust_mean(df, ["g"], "v").collect()}
+    for g, vs in rows.items():
+        assert got[g].n == len(vs)
+        for name, q in qs.items():
+            assert got[g][name] == pytest.approx(np.quantile(vs, q), rel=1e-12, abs=1e-12)
+        mid = np.median(vs)
+        assert mads[g] == pytest.approx((mid, np.median(np.abs(np.array(vs) - mid))), rel=1e-12)
+        cut = int(len(vs) * 0.1) if len(vs) > 2 else 0
+        assert means[g] == pytest.approx((len(vs), np.mean(sorted(vs)[cut : len(vs) - cut])), rel=1e-9)
+    assert robust.quantiles(df.where("false"), ["g"], "v", {"m": 0.5}).count() == 0
+    ends = robust.unit_scale(df.where("g = 'small' or g = 'none' or g is null"), ["g"], "v").collect()
+    assert {(r.g, r.v): round(r.unit, 6) for r in ends}[("small", 10.0)] == 1.0 and len(ends) == 7
+
+
 def test_slices_drop_blanks_and_spread_needs_two(spark):
     df = spark.createDataFrame([("x", " ", 1.0)] * 5 + [("y", None, 0.0)] * 5 + [("z", "q", 0.0)], "a string, b string, v double")
     s = cohort.sliced(df, ["a", "b"], ["v"]).groupBy("column", "value").agg(F.avg("v").alias("r"), F.count("*").alias("n")).withColumn("gated", F.col("n") >= 5)
