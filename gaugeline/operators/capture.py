@@ -61,6 +61,12 @@ def glasses_metric(beard: Column, glasses: Column, lim: dict = LIMITS) -> Column
     return F.when(beard <= lim["max_beard"], glasses)
 
 
+def least_visibility(visible: Column, required: tuple[str, ...]) -> Column:
+    """The least visible share of the required regions of a map, a missing one being 0; 0 if none is required."""
+    shares = [F.coalesce(F.try_element_at(visible, F.lit(r)), F.lit(0.0)) for r in required]
+    return F.array_min(F.array(*shares)) if shares else F.lit(0.0)
+
+
 def with_scale_floor(found: Column, anchor: Column, lim: dict = LIMITS) -> Column:
     """The failures with face_too_small behind them if the anchor is too short; they are not sorted anew."""
     short = (anchor < lim["min_anchor_px"]) & ~F.array_contains(found, "face_too_small")

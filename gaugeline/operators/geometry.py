@@ -16,6 +16,11 @@ def anchor(points: Column) -> Column:
     return F.when(F.size(points) >= FULL_FACE, F.hypot(a["x"] - b["x"], a["y"] - b["y"]))
 
 
+def first_face(faces: Column) -> Column:
+    """The points of the first face found; null without one, or where it lacks the iris points that give the scale."""
+    return F.when((F.size(faces) > 0) & (F.size(F.get(faces, F.lit(0))) > IRIS[0]), F.get(faces, F.lit(0)))
+
+
 def face_box(points: Column, width: Column, height: Column) -> Column:
     """struct(x, y, w, h): the whole pixels around all points, inside the frame."""
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])

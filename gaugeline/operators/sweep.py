@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeline.functions import robust
+from gaugeline.operators import geometry
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -59,3 +60,21 @@ def limit_index(metrics: DataFrame, limits: dict[str, tuple[str, float]]) -> Dat
 def wide(rows: DataFrame, key: str, metrics: str, names: list[str], prefix: str = "") -> DataFrame:
     """One column for each named entry of a map column; null where a row lacks it."""
     return rows.select(key, *[F.try_element_at(metrics, F.lit(n)).alias(f"{prefix}{n}") for n in names])
+
+
+def observations(rows: DataFrame, metrics: list[str], stages: list[str], regions: list[str]) -> DataFrame:
+    """One wide row for each image: faces, verdict, joined failures, metrics, and one column for each stage and region.
+
+    rows: (image, n_faces, n_points, passed, failures, anchor_px, coverage, failed_stage, metrics, rejected, visible, undersized).
+    Without a face, all that needs one is null, but the frame's metrics stay; a face without iris points has neither, and that for its failure.
+    """
+    face, full = F.col("n_faces") > 0, F.col("n_points") > geometry.IRIS[0]
+    seen, no_iris = face & full, face & ~full
+    share = lambda c, names, prefix: [F.when(seen, F.coalesce(F.try_element_at(c, F.lit(n)), F.lit(0.0))).alias(f"{prefix}{n}") for n in names]
+    return rows.select(
+        "image", "n_faces", (seen & F.col("passed")).alias("passed"), F.when(no_iris, "no_iris_landmarks").otherwise(F.array_join("failures", "|")).alias("failures"),
+        F.when(seen, F.col("anchor_px")).alias("anchor_px"), F.when(seen, F.coalesce("coverage", F.lit(0.0))).alias("mask_coverage_frac_of_face"), F.when(seen, F.coalesce("failed_stage", F.lit(""))).alias("mask_failed_stage"),
+        *[F.when(~no_iris, F.try_element_at("metrics", F.lit(m))).alias(m) for m in metrics],
+        *share("rejected", stages, "reject_"), *share("visible", regions, "visible_"),
+        *[F.when(seen, F.array_contains("undersized", r).cast("int")).alias(f"undersized_{r}") for r in regions],
+    )

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeline.functions import robust, vocab
-from gaugeline.operators import cohort, policy, validation
+from gaugeline.operators import cohort, policy, results, validation
 
 
 def test_band_edges(spark):
@@ -192,3 +192,27 @@ def test_region_cuts_of_all_subjects(spark):
         i, j, k = np.ix_(*[range(len(lab) + 1)] * 3)
         right = np.where((i <= j) & (j <= k), c[0][i] + (c[1][j] - c[1][i]) + (c[2][k] - c[2][j]) + (c[3][-1] - c[3][k]), -1)
         assert got[g] == (len(lab), len(lab) - right.max()), g
+
+
+def test_results_are_published_whole_or_not(spark):
+    rows = spark.createDataFrame([(1, "analysis", "redness", "mild", ["nose"], ["chin"], None)], "image int, status string, concern string, severity string, regions array<string>, unmeasurable_regions array<string>, note string")
+    kind = "concern string, header struct<calibrated: boolean, protocol_version: string, source: string, manifest: boolean, frozen: boolean, n_subjects: int, missing: array<string>>"
+    good, small = (True, "p1", "clinic", True, True, 300, []), (True, "p1", "clinic", True, True, 3, [])
+    out = results.published(rows, spark.createDataFrame([("redness", good)], kind), "p1")
+    assert out.columns == ["image", "status", "concern", "severity", "regions"] and out.first().regions == ["nose"]
+    with pytest.raises(ValueError, match="texture: cohort too small"):
+        results.published(rows, spark.createDataFrame([("redness", good), ("texture", small)], kind), "p1")
+
+
+def test_results_of_no_captures(spark):
+    c = spark.createDataFrame([], "image int, qc_passed boolean")
+    m = spark.createDataFrame([], "image int, concern string, roi string, measurement string, value double")
+    r = spark.createDataFrame([], "image int, concern string, reason string")
+    ref = spark.createDataFrame([], "concern string, roi string, measurement string, median double, mad double")
+    d = spark.createDataFrame([], "concern string, measurement string, direction double")
+    p = spark.createDataFrame([("redness", "nose")], "concern string, roi string")
+    assert results.analysed(c, m, r, ref, d, {"redness": "max"}, {}, p).count() == 0
+    c = spark.createDataFrame([(1, None), (2, True), (3, True)], "image int, qc_passed boolean")
+    m = spark.createDataFrame([(2, "redness", "nose", None, None), (1, "redness", "nose", "x", 1.0), (2, None, "nose", "visible", 0.5)], m.schema)
+    got = {(x.image, x.status, x.concern, x.severity, tuple(x.unmeasurable_regions)) for x in results.analysed(c, m, r, ref, d, {"redness": "max"}, {}, p).collect()}
+    assert got == {(1, "retake_required", None, None, ()), (2, "analysis", "redness", "unmeasurable", ("nose",))}
