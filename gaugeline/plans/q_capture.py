@@ -102,14 +102,6 @@ def capture_verdicts(s, d):
     return li.select(v.alias("v")).groupBy("v.passed", "v.blur_pass", "v.exposure_pass", "v.color_pass", "v.pose_pass", "v.shadow_pass").agg(F.count("*").alias("n"))
 
 
-def label_queue(s, d):
-    """label_queue_all over 40 customers, with events folded onto them: the part that its SQL can check."""
-    approved = st.table(s, d, "customer").where("c_custkey <= 40").select(F.col("c_custkey").alias("subject_id"), F.row_number().over(Window.orderBy("c_custkey")).cast("long").alias("position"))
-    e = st.table(s, d, "events")
-    labels = e.select(F.col("user_id").alias("rater_id"), (F.col("event_id") % 40 + 1).alias("subject_id"))
-    return forms.next_subjects(approved, labels, labels.select("rater_id").distinct())
-
-
 #: Customers' keys that are numbered together.
 _KEYS = 1 << 16
 
@@ -131,24 +123,18 @@ def _labels(s, approved, d):
     return e.join(approved, "position").select("rater_id", "subject_id")
 
 
-def label_queue_all(s, d):
+def label_queue(s, d):
     """Each user's first customer without an event of theirs, all customers as subjects in order of their key."""
     approved = _positions(s, d)
     raters = st.table(s, d, "events").select(F.col("user_id").alias("rater_id")).distinct()
     return forms.next_subjects(approved, _labels(s, approved, d), raters)
 
 
-def rater_progress_all(s, d):
+def rater_progress(s, d):
     """Customers that each user has an event for."""
     return forms.progress(_labels(s, _positions(s, d), d))
 
 
-def rater_progress(s, d):
-    """rater_progress_all with events folded onto 40 subjects: what its SQL counts."""
-    e = st.table(s, d, "events")
-    return forms.progress(e.select(F.col("user_id").alias("rater_id"), (F.col("event_id") % 40 + 1).alias("subject_id")))
-
-
 def config_merge(s, d):
     """Parts' prices by name over suppliers' balances by name, as flat configuration paths."""
     base = st.table(s, d, "part").select(F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("path"), F.round("p_retailprice", 2).alias("value"))
@@ -161,7 +147,7 @@ def concern_vocabulary(s, d):
     return keys.select("key", vocab.value_of_key(F.col("key")).alias("value"), vocab.key_of_value(vocab.value_of_key(F.col("key"))).alias("back"))
 
 
-QUERIES = {f.__name__: f for f in (sniff_headers, png_header, webp_header, jpeg_header, limits, outcome_routing, latency_budget, capture_failures, capture_verdicts, label_queue, label_queue_all, rater_progress, rater_progress_all, config_merge, concern_vocabulary)}
+QUERIES = {f.__name__: f for f in (sniff_headers, png_header, webp_header, jpeg_header, limits, outcome_routing, latency_budget, capture_failures, capture_verdicts, label_queue, rater_progress, config_merge, concern_vocabulary)}
 
 _HEX = ", ".join(f"('{k}', '{v}')" for k, v in sorted(HEADERS.items()))
 _H = f"h AS (SELECT name, hexed AS x FROM (VALUES {_HEX}) v(name, hexed))"
@@ -182,6 +168,9 @@ f AS (
       CASE WHEN shadow > 0.15 THEN 'shadow_asymmetry' END, CASE WHEN cst > 0.18 THEN 'color_cast' END, CASE WHEN vis < 0.6 THEN 'insufficient_roi_visibility' END, CASE WHEN beard > 0.3 OR (beard <= 0.3 AND glasses > 0.2) THEN 'occlusion' END],
       lambda x: x IS NOT NULL))) END AS found FROM o)"""
 
+_TURNS = """a AS (SELECT c_custkey AS subject_id, row_number() OVER (ORDER BY c_custkey) AS position FROM customer),
+l AS (SELECT DISTINCT user_id AS rater_id, event_id % (SELECT count(*) FROM customer) + 1 AS position FROM events)"""
+
 SQL = {
     "sniff_headers": f"WITH {_H} SELECT name, CASE WHEN substr(x, 1, 6) = 'FFD8FF' THEN 'jpeg' WHEN substr(x, 1, 16) = '89504E470D0A1A0A' THEN 'png' WHEN substr(x, 1, 8) = '52494646' AND substr(x, 17, 8) = '57454250' THEN 'webp' END AS fmt FROM h",
     "png_header": f"WITH {_H} SELECT name, CASE WHEN length(x) >= 48 AND substr(x, 25, 8) = '49484452' THEN {_BE(16, 4)} END AS width, CASE WHEN length(x) >= 48 AND substr(x, 25, 8) = '49484452' THEN {_BE(20, 4)} END AS height FROM h WHERE name LIKE 'png%'",
@@ -202,11 +191,11 @@ WITH {_OBS} SELECT id, k, l_suppkey, l_partkey, array_to_string(found, '|') AS f
     "capture_verdicts": f"""
 WITH {_OBS} SELECT len(found) = 0 AS passed, NOT list_contains(found, 'blur') AS blur_pass, NOT list_has_any(found, ['underexposed', 'overexposed']) AS exposure_pass, NOT list_contains(found, 'color_cast') AS color_pass,
   NOT list_contains(found, 'extreme_pose') AS pose_pass, shadow <= 0.12 AS shadow_pass, count(*) AS n FROM f GROUP BY ALL""",
-    "label_queue": """
-WITH a AS (SELECT c_custkey AS subject_id, row_number() OVER (ORDER BY c_custkey) AS position FROM customer WHERE c_custkey <= 40), l AS (SELECT user_id AS rater_id, event_id % 40 + 1 AS subject_id FROM events)
-SELECT rater_id, subject_id FROM (SELECT r.rater_id, a.subject_id, row_number() OVER (PARTITION BY r.rater_id ORDER BY position) AS k FROM (SELECT DISTINCT rater_id FROM l) r, a
-  WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.rater_id = r.rater_id AND l.subject_id = a.subject_id)) WHERE k = 1""",
-    "rater_progress": "SELECT user_id AS rater_id, count(DISTINCT event_id % 40) AS done FROM events GROUP BY 1",
+    "label_queue": f"""
+WITH {_TURNS}, w AS (SELECT rater_id, position, row_number() OVER (PARTITION BY rater_id ORDER BY position) AS k FROM l),
+g AS (SELECT rater_id, coalesce(min(k) FILTER (position <> k), count(*) + 1) AS position FROM w GROUP BY 1)
+SELECT rater_id, subject_id FROM g JOIN a USING (position)""",
+    "rater_progress": f"WITH {_TURNS} SELECT rater_id, count(*) AS done FROM l GROUP BY 1",
     "config_merge": """
 SELECT coalesce(a.path, b.path) AS path, coalesce(b.value, a.value) AS value FROM (SELECT 'k' || p_partkey AS path, round(p_retailprice, 2) AS value FROM part) a
 FULL JOIN (SELECT 'k' || (s_suppkey * 3) AS path, round(s_acctbal, 2) AS value FROM supplier) b ON a.path = b.path""",

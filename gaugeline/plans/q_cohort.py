@@ -109,11 +109,6 @@ def _region_cuts(rows):
 
 
 def threshold_fit(s, d):
-    """Cuts by region of the first 60 subjects: the part that its SQL can check."""
-    return _region_cuts(_samples(s, d).where("subject_id <= 60"))
-
-
-def threshold_fit_regions(s, d):
     """Cuts by region of all subjects."""
     return _region_cuts(_samples(s, d))
 
@@ -129,7 +124,7 @@ def reference_coverage(s, d):
     return policy.missing_regions(ref, primary).select("concern", F.array_join("missing", ",").alias("missing"))
 
 
-QUERIES = {f.__name__: f for f in (subject_means, subject_split, reference_stats, zref_long, roi_band, concern_severity, public_view, majority_vote, agreement_eval, holdout_slices, holdout_gates, threshold_fit, threshold_fit_regions, threshold_fit_all, reference_coverage)}
+QUERIES = {f.__name__: f for f in (subject_means, subject_split, reference_stats, zref_long, roi_band, concern_severity, public_view, majority_vote, agreement_eval, holdout_slices, holdout_gates, threshold_fit, threshold_fit_all, reference_coverage)}
 
 _SAMPLES = f"""{st.ROI_SQL},
 samples AS (
@@ -144,10 +139,10 @@ sl AS (SELECT concern, col AS "column", value, count(*) AS n, round(avg((lab = p
   WHERE value <> '' GROUP BY 1, 2, 3)"""
 
 
-def _fit_sql(by: str, where: str) -> str:
-    """Cut-points by trying every triple of cuts over distinct positions (a quadratic number of them, from prefix counts)."""
+def _fit_sql(by: str) -> str:
+    """Cut-points from prefix counts and their running maxima."""
     return f"""
-WITH {_SAMPLES}, rows AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY z, CASE lab WHEN 0 THEN 'not_detected' WHEN 1 THEN 'mild' WHEN 2 THEN 'moderate' ELSE 'high' END) AS p FROM samples WHERE {where}),
+WITH {_SAMPLES}, rows AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY z, CASE lab WHEN 0 THEN 'not_detected' WHEN 1 THEN 'mild' WHEN 2 THEN 'moderate' ELSE 'high' END) AS p FROM samples),
 cum AS (
   SELECT {by}, p, z, sum((lab = 0)::INT) OVER w AS c0, sum((lab = 1)::INT) OVER w AS c1, sum((lab = 2)::INT) OVER w AS c2, sum((lab = 3)::INT) OVER w AS c3 FROM rows WINDOW w AS (PARTITION BY {by} ORDER BY p)
   UNION ALL SELECT DISTINCT {by}, 0, NULL::DOUBLE, 0, 0, 0, 0 FROM rows),
@@ -156,9 +151,9 @@ tot AS (SELECT {by}, count(*) AS n, min(z) AS lo, max(z) AS hi, sum((lab = 3)::I
 
 
 _FIT_TAIL = """
-best2 AS (SELECT {by}, j.p AS j, max(i.c0 - i.c1) AS g1 FROM cum i JOIN cum j USING ({by}) WHERE i.p <= j.p GROUP BY ALL),
+best2 AS (SELECT {by}, p AS j, max(c0 - c1) OVER (PARTITION BY {by} ORDER BY p) AS g1 FROM cum),
 val2 AS (SELECT b.*, b.g1 + c.c1 - c.c2 AS g2 FROM best2 b JOIN cum c ON {on_bc} AND c.p = b.j),
-best3 AS (SELECT {by}, k.p AS k, max(v.g2) AS g2 FROM val2 v JOIN cum k USING ({by}) WHERE v.j <= k.p GROUP BY ALL),
+best3 AS (SELECT {by}, j AS k, max(g2) OVER (PARTITION BY {by} ORDER BY j) AS g2 FROM val2),
 val3 AS (SELECT b.*, b.g2 + c.c2 - c.c3 AS g3 FROM best3 b JOIN cum c ON {on_bc} AND c.p = b.k),
 pick3 AS (SELECT {by}, min(k) AS k, any_value(g3) AS g3 FROM (SELECT *, max(g3) OVER (PARTITION BY {by}) AS m FROM val3) WHERE g3 = m GROUP BY ALL),
 pick2 AS (SELECT {by}, k, g3, min(j) AS j FROM (SELECT p.*, v.j, v.g2, max(v.g2) OVER (PARTITION BY {by}) AS m FROM pick3 p JOIN val2 v USING ({by}) WHERE v.j <= p.k) WHERE g2 = m GROUP BY ALL),
@@ -174,10 +169,10 @@ SELECT {by}, n, misclassified::BIGINT AS misclassified, round(t0, 8) AS t0, roun
 """
 
 
-def _fit(by: tuple[str, ...], where: str) -> str:
+def _fit(by: tuple[str, ...]) -> str:
     on = lambda x, y: " AND ".join(f"{x}.{k} = {y}.{k}" for k in by)
     names = ", ".join(by)
-    return _fit_sql(names, where) + _FIT_TAIL.format(by=names, q=", ".join(f"t.{k}" for k in by), on_bc=on("b", "c"), on_ta=on("t", "a"), on_tb=on("t", "b"), on_tc=on("t", "c"))
+    return _fit_sql(names) + _FIT_TAIL.format(by=names, q=", ".join(f"t.{k}" for k in by), on_bc=on("b", "c"), on_ta=on("t", "a"), on_tb=on("t", "b"), on_tc=on("t", "c"))
 
 
 _AGG = f"""{st.ROI_SQL},
@@ -209,7 +204,8 @@ sp AS (SELECT concern, "column", CASE WHEN count(*) FILTER (gated) >= 2 THEN max
 SELECT concern, 'exact_agreement' AS gate, CASE WHEN exact IS NULL THEN 'not_evaluated' WHEN exact >= 0.7 THEN 'pass' ELSE 'fail' END AS status, exact AS value, 0.7::DOUBLE AS bound FROM ev
 UNION ALL SELECT concern, 'adjacent_agreement', CASE WHEN adjacent IS NULL THEN 'not_evaluated' WHEN adjacent >= 0.9 THEN 'pass' ELSE 'fail' END, adjacent, 0.9 FROM ev
 UNION ALL SELECT concern, 'slice_spread[' || "column" || ']', CASE WHEN spread IS NULL THEN 'not_evaluated' WHEN spread <= 0.15 THEN 'pass' ELSE 'fail' END, round(spread, 6), 0.15 FROM sp""",
-    "threshold_fit": _fit(("concern", "roi"), "subject_id <= 60"),
+    "threshold_fit": _fit(("concern", "roi")),
+    "threshold_fit_all": _fit(("concern",)),
     "reference_coverage": f"""
 WITH {st.REFERENCE_SQL}
 SELECT concern, string_agg(roi, ',' ORDER BY roi) AS missing FROM (

@@ -113,20 +113,11 @@ def strictest_floor(s, d):
     return sweep.strictest(recommend_floor(s, d))
 
 
-def _in_hulls(lines):
-    pts = lines.select(F.col("l_suppkey").alias("g"), F.col("l_quantity").alias("x"), F.col("l_linenumber").cast("double").alias("y"), "l_tax").distinct()
-    edges = geometry.hull(pts.where("l_tax <= 0.04"), ["g"])
-    return geometry.inside_hull(pts.select("g", "x", "y").distinct(), edges, ["g"]).select("g", "x", "y")
-
-
 def hull_membership(s, d):
-    """Points of the first 400 orders' lines in the hull of the same supplier's lines with a low tax: the part that its SQL can check."""
-    return _in_hulls(st.table(s, d, "lineitem").where("l_orderkey <= 400"))
-
-
-def hull_membership_all(s, d):
     """Points of all lines in the hull of the same supplier's lines with a low tax."""
-    return _in_hulls(st.table(s, d, "lineitem"))
+    pts = st.table(s, d, "lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_quantity").alias("x"), F.col("l_linenumber").cast("double").alias("y"), "l_tax").distinct()
+    edges = geometry.hull(pts.where("l_tax <= 0.04"), ["g"])
+    return geometry.inside_hull(pts.select("g", "x", "y").distinct(), edges, ["g"]).select("g", "x", "y")
 
 
 def pair_asymmetry(s, d):
@@ -156,7 +147,7 @@ def color_lab(s, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (plane_blur_metrics, plane_focus_interior, plane_gradient, plane_glcm, plane_variance, mad_by_group, trimmed_mean, local_z, redness_measures, unit_scale, gray_world, lr_asymmetry, deterministic_subsample, blur_drift, threshold_sweep, recommend_floor, strictest_floor, hull_membership, hull_membership_all, pair_asymmetry, run_lengths, skin_consensus, color_lab)
+    for f in (plane_blur_metrics, plane_focus_interior, plane_gradient, plane_glcm, plane_variance, mad_by_group, trimmed_mean, local_z, redness_measures, unit_scale, gray_world, lr_asymmetry, deterministic_subsample, blur_drift, threshold_sweep, recommend_floor, strictest_floor, hull_membership, pair_asymmetry, run_lengths, skin_consensus, color_lab)
 }
 
 _PX = "px AS (SELECT vec_id AS image, label, (i - 1) // 8 AS y, ((i - 1) % 8)::INT AS x, round(least(greatest((embedding[i]::DOUBLE + 0.5) * 255, 0), 255), 3) AS v FROM embeddings, range(1, 65) g(i))"
@@ -237,8 +228,8 @@ SELECT image, y::INT AS y, x, v FROM r WHERE n <= 9 OR r IN (SELECT round_even(i
     "recommend_floor": f"WITH {_SWEEP} SELECT label, min(CASE WHEN p95_drift <= 0.88 THEN threshold END) AS floor FROM swept GROUP BY 1",
     "strictest_floor": f"WITH {_SWEEP}, f AS (SELECT label, min(CASE WHEN p95_drift <= 0.88 THEN threshold END) AS floor FROM swept GROUP BY 1) SELECT CASE WHEN count(floor) = count(*) THEN max(floor) END AS floor FROM f",
     "hull_membership": """
-WITH pts AS (SELECT DISTINCT l_suppkey AS g, l_quantity AS x, l_linenumber::DOUBLE AS y, l_tax FROM lineitem WHERE l_orderkey <= 400),
-h AS (SELECT DISTINCT g, x, y FROM pts WHERE l_tax <= 0.04), p AS (SELECT DISTINCT g, x, y FROM pts),
+WITH pts AS (SELECT DISTINCT l_suppkey AS g, l_quantity AS x, l_linenumber::DOUBLE AS y, l_tax FROM lineitem),
+h AS (SELECT DISTINCT g, unnest([min(x), max(x)]) AS x, y FROM pts WHERE l_tax <= 0.04 GROUP BY g, y), p AS (SELECT DISTINCT g, x, y FROM pts),
 edges AS (
   SELECT a.g, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM h a JOIN h b ON a.g = b.g AND (a.x <> b.x OR a.y <> b.y) JOIN h c ON c.g = a.g
   GROUP BY ALL HAVING bool_and((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) > 0 OR ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0

@@ -155,7 +155,7 @@ def test_hulls_of_all_lines(spark, tmp_path):
         # in a triangle of the corners, its sides included
         tri = [(a, b, c) for a in corners for b in corners for c in corners if turn(a, b, c) > 0]
         want |= {(g, *p) for p in pts if any(turn(a, b, p) >= 0 and turn(b, c, p) >= 0 and turn(c, a, p) >= 0 for a, b, c in tri)}
-    got = [(x.g, x.x, x.y) for x in registry.queries()["hull_membership_all"](spark, str(tmp_path)).collect()]
+    got = [(x.g, x.x, x.y) for x in registry.queries()["hull_membership"](spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
 
 
@@ -171,7 +171,7 @@ def test_the_queue_offers_all_customers(spark, tmp_path):
     for e, u in events:
         done.setdefault(u, set()).add(keys[e % n])
     first = {u: min(set(keys) - v) for u, v in done.items() if set(keys) - v}
-    got = registry.queries()["label_queue_all"](spark, str(tmp_path)).collect()
+    got = registry.queries()["label_queue"](spark, str(tmp_path)).collect()
     assert sorted((x.rater_id, x.subject_id) for x in got) == sorted(first.items()) and set(first) == {1, 2, 4, 5} and first[1] > 40
-    got = registry.queries()["rater_progress_all"](spark, str(tmp_path)).collect()
+    got = registry.queries()["rater_progress"](spark, str(tmp_path)).collect()
     assert {x.rater_id: x.done for x in got} == {u: len(v) for u, v in done.items()} and len(done[3]) > 40

@@ -184,7 +184,7 @@ def test_region_cuts_of_all_subjects(spark):
     for x in q_cohort._samples(spark, data).collect():
         groups.setdefault((x.concern, x.roi), []).append((x.z, x.label, x.subject_id))
     assert max(x[2] for v in groups.values() for x in v) > 60
-    got = {(x.concern, x.roi): (x.n, x.misclassified) for x in q_cohort.threshold_fit_regions(spark, data).collect()}
+    got = {(x.concern, x.roi): (x.n, x.misclassified) for x in q_cohort.threshold_fit(spark, data).collect()}
     assert set(got) == set(groups)
     for g, v in groups.items():
         lab = np.array([vocab.BANDS.index(x[1]) for x in sorted(v)])
