@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package with QUERIES (name -> function) and SQL (name -> DuckDB text).
-MODULES: tuple[str, ...] = ("q_cohort", "q_validation", "q_planes", "q_capture", "q_images", "q_refusals", "q_results")
+MODULES: tuple[str, ...] = ("q_cohort", "q_validation", "q_planes", "q_capture", "q_images", "q_refusals", "q_results", "q_geometry")
 
 
 def _each():

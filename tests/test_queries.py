@@ -6,14 +6,14 @@ import os
 import duckdb
 import pytest
 
-from gaugeline.plans import q_refusals, q_results, registry
+from gaugeline.plans import q_geometry, q_refusals, q_results, registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no data")
 #: Those that differ in kind; the rest of the queries is the same code on other columns.
 NAMES = ["reference_stats", "concern_severity", "threshold_fit", "repeatability_gates", "capture_gates", "severity_pivot", "worst_cv", "plane_glcm", "plane_components", "threshold_sweep", "hull_membership", "outcome_routing", "webp_header", "label_queue", "config_merge"]
-NAMES += [*q_refusals.QUERIES, *q_results.QUERIES]
+NAMES += [*q_refusals.QUERIES, *q_results.QUERIES, *q_geometry.QUERIES]
 
 
 def plain(v):
