@@ -32,15 +32,14 @@ def next_subject(approved: DataFrame, labels: DataFrame, rater) -> DataFrame:
 def next_subjects(approved: DataFrame, labels: DataFrame, raters: DataFrame) -> DataFrame:
     """(rater_id, subject_id): the same for every rater at once.
 
-    The first position without a label is where a rater's sorted labelled positions leave the row of
-    whole numbers, so no rater meets every subject.
+    A first position without a label stands at 1 or right behind a labelled one, so those candidates meet the
+    labels by rater and position: no rater meets every subject, and no rater's labels gather in one task.
     """
-    n = approved.count()
     done = labels.join(approved, "subject_id").select("rater_id", "position").distinct()
-    gap = done.groupBy("rater_id").agg(F.array_sort(F.collect_list("position")).alias("p"))  # a rater's own labels
-    first = F.coalesce(F.array_min(F.filter(F.transform("p", lambda x, i: F.when(x != i + 1, i + 1)), lambda x: x.isNotNull())), F.size("p") + 1)
-    at = raters.join(gap, "rater_id", "left").select("rater_id", F.coalesce(F.when(F.col("p").isNull(), 1).otherwise(first), F.lit(1)).cast("long").alias("position"))
-    return at.where(F.col("position") <= n).join(approved, "position").select("rater_id", "subject_id")
+    behind = done.select("rater_id", (F.col("position") + 1).alias("position"))
+    candidates = raters.select("rater_id", F.lit(1).cast("long").alias("position")).unionByName(behind)
+    at = candidates.join(done, ["rater_id", "position"], "left_anti").groupBy("rater_id").agg(F.min("position").alias("position"))
+    return at.join(approved, "position").select("rater_id", "subject_id")
 
 
 def progress(labels: DataFrame) -> DataFrame:
