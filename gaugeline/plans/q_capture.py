@@ -19,6 +19,8 @@ HEADERS = {
     "webp_lossy": "5249464600000000574542505650382000000000" "0000009D012AF40128010000",
     "gif": "474946383961010001000000000000000000000000000000",
     "jpeg": "FFD8FFE000104A46494600010100000100010000FFC0001108028003200301220002110103110100",
+    "jpeg_progressive": "FFD8FFE10006AABBCCDDFFDB0004FFC0FFC2001108012C01900301220002110103110100",
+    "jpeg_frameless": "FFD8FFE10006AABBCCDDFFD9",
 }
 
 
@@ -41,7 +43,7 @@ def webp_header(s, d):
 
 
 def jpeg_header(s, d):
-    rows = _headers(s).where("name = 'jpeg'").select("name", headers.jpeg_size("content").alias("z"))
+    rows = _headers(s).where("name like 'jpeg%'").select("name", headers.jpeg_size("content").alias("z"))
     return rows.select("name", "z.width", "z.height")
 
 
@@ -178,6 +180,10 @@ SQL = {
 WITH {_H} SELECT name,
   CASE substr(x, 25, 8) WHEN '56503858' THEN {_LE(24, 3)} + 1 WHEN '56503820' THEN {_LE(26, 2)} & 16383 WHEN '5650384C' THEN ({_LE(21, 4)} & 16383) + 1 END AS width,
   CASE substr(x, 25, 8) WHEN '56503858' THEN {_LE(27, 3)} + 1 WHEN '56503820' THEN {_LE(28, 2)} & 16383 WHEN '5650384C' THEN (({_LE(21, 4)} >> 14) & 16383) + 1 END AS height FROM h WHERE name LIKE 'webp%'""",
+    "jpeg_header": f"""
+WITH RECURSIVE {_H}, w AS (SELECT name, x, 4 AS spot FROM h WHERE name LIKE 'jpeg%' UNION ALL SELECT name, x, spot + 4 + 2 * ('0x' || substr(x, spot + 5, 4))::INT FROM w WHERE substr(x, spot + 1, 4) NOT IN ('FFC0', 'FFC1', 'FFC2', 'FFD9') AND spot + 8 <= length(x)),
+f AS (SELECT name, ('0x' || substr(x, spot + 15, 4))::INT AS width, ('0x' || substr(x, spot + 11, 4))::INT AS height FROM w WHERE substr(x, spot + 1, 4) IN ('FFC0', 'FFC1', 'FFC2'))
+SELECT name, width, height FROM h LEFT JOIN f USING (name) WHERE name LIKE 'jpeg%'""",
     "limits": f"WITH {_REQ} SELECT id, k, n_bytes, refusal FROM lim",
     "outcome_routing": f"""
 WITH {_REQ} SELECT id, k, n_bytes,
